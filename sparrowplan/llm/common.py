@@ -100,8 +100,8 @@ WORDS = byte_classes(SPACES)
 LETTERS = byte_classes(b for b in range(128) if not chr(b).isalpha())
 
 
-def _hashed(buffer: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start of every token of the buffer."""
+def _hashed(buffer: bytes, values: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and start of every token of the buffer, then of the prefixes (in bytes) of the tokens that are longer."""
     global _POWERS
     if not buffer:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -115,8 +115,14 @@ def _hashed(buffer: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if longest > len(_POWERS):
         _POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * longest, 0x9E3779B97F4A7C15, np.uint64)]))
     within = np.arange(len(at)) - np.repeat(first, lengths)
-    h = np.add.reduceat(v[at] * _POWERS[within], first)
-    return mixed(h), at[first]
+    terms = v[at] * _POWERS[within]
+    hashes, starts = [mixed(np.add.reduceat(terms, first))], [at[first]]
+    for k in prefixes:
+        longer = lengths > k
+        part = mixed(np.add.reduceat(np.where(within < k, terms, np.uint64(0)), first)[longer] + np.uint64(k))
+        hashes.append(part)
+        starts.append(at[first][longer])
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def hashed_tokens(texts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +153,28 @@ def pieces(text: bytes, limit: int = STEP_BYTES) -> list[bytes]:
     return out
 
 
+def document_terms(texts: list[bytes], values: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text index of all tokens and of the prefixes of longer tokens, in no order."""
+    hashes, docs, held, of, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], [], 0
+
+    def flush() -> None:
+        h, at = _hashed(b"\n".join(held), values, prefixes)
+        hashes.append(h)
+        docs.append(np.array(of, np.int64)[np.searchsorted(np.cumsum([len(x) + 1 for x in held]), at, side="right")])
+
+    for i, text in enumerate(texts):
+        for piece in pieces(text):
+            held.append(piece)
+            of.append(i)
+            size += len(piece)
+            if size > STEP_BYTES:
+                flush()
+                held, of, size = [], [], 0
+    if held:
+        flush()
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def document_tokens(texts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As hashed_tokens, with bounded working memory for very long texts."""
     if sum(map(len, texts)) <= 2 * STEP_BYTES:
