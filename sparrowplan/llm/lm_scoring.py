@@ -32,10 +32,10 @@ from sparrowplan.llm.common import WORDS, byte_texts, document_tokens, remainder
 
 #: Words that can be contexts: a table of 24 bytes each.
 CONTEXTS = 1 << 17
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 CHUNK_DOCUMENTS = 1 << 15
 #: Tokens, about, that one task of the second pass counts.
-TASK_TOKENS = 3_000_000
+TASK_TOKENS = 2_500_000
 #: Of the training documents, one in so many is held out to learn the weights.
 DELETED = 10
 BUCKETS = 34  # by the logarithm of the context's count; then rare contexts, and the start of a text
@@ -208,27 +208,26 @@ class _Scorer:
         mix = weights[self.bucket(v, self.context)]
         p = mix[:, 0] * np.where(v != len(self.h), two / np.maximum(self.context[v], 1), 0) + mix[:, 1] * one / max(self.tokens, 1) + mix[:, 2] / (self.types + 1)
         base = np.log10((one + 1) / (self.tokens + self.types + 1))
-        at = place.astype(np.int64) * (1 << 16) + doc
-        size = len(chunks) << 16
-        sums = [np.bincount(at, x, size).reshape(-1, 1 << 16) for x in (np.log10(p), base, one > 0)] if chunks else []
-        top = np.zeros(len(chunks), np.int64)
-        np.maximum.at(top, place, doc.astype(np.int64) + 1)
-        rows = [(c, None, *[zstandard.ZstdCompressor(level=1).compress(s[i, : top[i]].tobytes()) for s in sums]) for i, c in enumerate(chunks)]
-        rows += [(c, h, None, None, None) for c, h in heads]
-        return pa.table({n: pa.array(x, k) for n, x, k in zip(("chunk", "head", "score", "base", "known"), zip(*rows), [pa.int64()] + [pa.binary()] * 4)} if rows else {n: pa.array([], k) for n, k in zip(("chunk", "head", "score", "base", "known"), [pa.int64()] + [pa.binary()] * 4)})
+        # only documents that have tokens here are sent back
+        at, inverse = np.unique(place.astype(np.int64) * (1 << 16) + doc, return_inverse=True)
+        sums = [np.bincount(inverse, x, len(at)) for x in (np.log10(p), base, one > 0)]
+        cuts = np.searchsorted(at, np.arange(len(chunks) + 1, dtype=np.int64) << 16)
+        press = zstandard.ZstdCompressor(level=1).compress
+        rows = [(c, None, press((at[a:b] & 0xFFFF).astype(np.uint16).tobytes()), press(np.concatenate([x[a:b] for x in sums]).tobytes())) for c, a, b in zip(chunks, cuts, cuts[1:])]
+        rows += [(c, h, None, None) for c, h in heads]
+        columns = zip(*rows) if rows else [[]] * 4
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(("chunk", "head", "docs", "sums"), columns, [pa.int64()] + [pa.binary()] * 3)})
 
     def total(self, group: pa.Table) -> pa.Table:
         """The documents of one chunk."""
         rows = group.to_pylist()
         head = pa.deserialize_pandas(next(r["head"] for r in rows if r["head"] is not None))
-        out = {}
-        for name in ("score", "base", "known"):
-            total = np.zeros(len(head))
-            # the same order each time, so that sums come out alike
-            for raw in sorted(r[name] for r in rows if r[name] is not None):
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.float64)
-                total[: len(part)] += part
-            out[name] = total
+        total = np.zeros((3, len(head)))
+        raw = zstandard.ZstdDecompressor().decompress
+        # the same order each time, so that sums come out alike
+        for docs, sums in sorted((r["docs"], r["sums"]) for r in rows if r["docs"] is not None):
+            total[:, np.frombuffer(raw(docs), np.uint16)] += np.frombuffer(raw(sums), np.float64).reshape(3, -1)
+        out = dict(zip(("score", "base", "known"), total))
         n = len(head)
         return pa.table({"key": pa.array(head["k"], pa.int64()), "held_out": pa.array((head["f"] == 0).to_numpy(bool)), "n_tokens": pa.array(head["n"].to_numpy(np.int64)), "n_known": pa.array(np.rint(out["known"]).astype(np.int64)), "train_tokens": pa.array(np.full(n, self.tokens, np.int64)), "base_score": pa.array(out["base"]), "score": pa.array(out["score"])})
 
@@ -277,7 +276,7 @@ def score_documents(docs: DataFrame, fold: Column, text: str = "text", key: str
     none = spark.range(1).select(F.lit(RARE << 32).cast("long").alias("cell"), F.lit(1).cast("long").alias("n"))
     weights = cells.union(none).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "weights binary")
     # both uses of `dealt` share one shuffle
-    scored = dealt.select("*", weights.scalar().alias("weights")).groupBy("p").applyInArrow(lambda t: shipped.value.score(t), "chunk long, head binary, score binary, base binary, known binary")
+    scored = dealt.select("*", weights.scalar().alias("weights")).groupBy("p").applyInArrow(lambda t: shipped.value.score(t), "chunk long, head binary, docs binary, sums binary")
     return scored.groupBy("chunk").applyInArrow(lambda t: shipped.value.total(t), "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
 
 
