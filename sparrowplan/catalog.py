@@ -1,4 +1,466 @@
-"""The registered queries of the relational engine, and their SQL."""
+"""The registered queries of the relational engine, and their SQL.
+
+Money is summed as whole numbers (value x 10^6), which is exact and doesn't depend on order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparrowplan.functions import codecs
+from sparrowplan.functions.codecs import fixed_point as fx
+from sparrowplan.functions.expressions import column_of
+from sparrowplan.operators import relational as R
+from sparrowplan.operators.private_filter import condition
+from sparrowplan.plans import planner
+from sparrowplan.sources import tables
+from sparrowplan.sources.tables import table
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+c, lit = F.col, F.lit
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def money(e: str) -> str:
+    return f"CAST(round(({e}) * 1000000) AS BIGINT)"
+
+
+def big(e: str) -> str:
+    return f"CAST({e} AS BIGINT)"
+
+
+def total(value: Column) -> Column:
+    return F.sum(fx(value))
+
+
+PRICE = c("l_extendedprice") * (1 - c("l_discount"))
+PRICE_SQL = "l_extendedprice * (1 - l_discount)"
+CHARGE_SQL = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
+
+
+# --- plans in JSON ---
+
+Q1_PLAN = {
+    "rels": [
+        {"id": "0", "relOp": "FheTableScan", "sql": f"SELECT l_returnflag, l_linestatus, l_shipdate, {money('l_quantity')} AS qty, {money('l_extendedprice')} AS price, {money('l_discount')} AS disc, {money(PRICE_SQL)} AS disc_price, {money(CHARGE_SQL)} AS charge FROM lineitem"},
+        {"id": "1", "relOp": "FheFilter", "predicates": [{"column": "l_shipdate", "type": "less_equal", "wireKey": "ship"}]},
+        {"id": "2", "relOp": "FheAggregate", "group": ["l_returnflag", "l_linestatus"], "aggs": [{"agg": "SUM", "operands": [x], "name": n} for x, n in (("qty", "sum_qty"), ("price", "sum_base_price"), ("disc_price", "sum_disc_price"), ("charge", "sum_charge"), ("disc", "sum_disc"))] + [{"agg": "COUNT", "name": "count_order"}]},
+        {"id": "3", "relOp": "LogicalSort", "collation": [{"field": 0, "direction": "ASCENDING"}, {"field": 1, "direction": "ASCENDING"}]},
+    ]
+}
+Q1_SHIP = "1998-08-03"
+
+
+def _q1(spark: SparkSession, d: str, oblivious: bool) -> DataFrame:
+    out = planner.run(spark, d, Q1_PLAN, {"ship": Q1_SHIP}, oblivious)
+    n = c("count_order").cast("double")
+    return out.select("l_returnflag", "l_linestatus", "sum_qty", "sum_base_price", "sum_disc_price", "sum_charge", (c("sum_qty") / 1e6 / n).alias("avg_qty"), (c("sum_base_price") / 1e6 / n).alias("avg_price"), (c("sum_disc") / 1e6 / n).alias("avg_disc"), "count_order")
+
+
+Q1_SQL = f"""
+SELECT l_returnflag, l_linestatus, {big(f"sum({money('l_quantity')})")} AS sum_qty, {big(f"sum({money('l_extendedprice')})")} AS sum_base_price,
+       {big(f"sum({money(PRICE_SQL)})")} AS sum_disc_price, {big(f"sum({money(CHARGE_SQL)})")} AS sum_charge,
+       CAST(sum({money('l_quantity')}) AS DOUBLE) / 1e6 / count(*) AS avg_qty, CAST(sum({money('l_extendedprice')}) AS DOUBLE) / 1e6 / count(*) AS avg_price,
+       CAST(sum({money('l_discount')}) AS DOUBLE) / 1e6 / count(*) AS avg_disc, count(*) AS count_order
+FROM lineitem WHERE l_shipdate <= DATE '{Q1_SHIP}' GROUP BY 1, 2"""
+
+
+@query(Q1_SQL)
+def q1_pricing(spark: SparkSession, d: str) -> DataFrame:
+    return _q1(spark, d, False)
+
+
+@query(Q1_SQL)
+def oblivious_q1(spark: SparkSession, d: str) -> DataFrame:
+    return _q1(spark, d, True)
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {big(f'''sum({money('l_quantity')})''')} AS sum_qty FROM lineitem WHERE l_shipdate <= DATE '{Q1_SHIP}' GROUP BY 1, 2")
+def q1_one_sum(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where(c("l_shipdate") <= lit(Q1_SHIP)).groupBy("l_returnflag", "l_linestatus").agg(total(c("l_quantity")).alias("sum_qty"))
+
+
+Q6_PLAN = {
+    "rels": [
+        {"id": "0", "relOp": "FheTableScan", "sql": f"SELECT l_shipdate, l_discount, l_quantity, {money('l_extendedprice * l_discount')} AS revenue FROM lineitem"},
+        {"id": "1", "relOp": "FheFilter", "predicates": [{"column": "l_shipdate", "type": "greater_equal", "wireKey": "from"}, {"column": "l_shipdate", "type": "less_than", "wireKey": "to"}, {"column": "l_discount", "type": "greater_equal", "wireKey": "low"}, {"column": "l_discount", "type": "less_equal", "wireKey": "high"}, {"column": "l_quantity", "type": "less_than", "wireKey": "quantity"}]},
+        {"id": "2", "relOp": "FheAggregate", "aggs": [{"agg": "SUM", "operands": ["revenue"], "name": "revenue"}]},
+    ]
+}
+Q6_CONSTANTS = {"from": "1997-01-01", "to": "1998-01-01", "low": 0.02, "high": 0.04, "quantity": 24.0}
+Q6_SQL = f"SELECT {big(f'''coalesce(sum({money('l_extendedprice * l_discount')}), 0)''')} AS revenue FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' AND l_discount >= 0.02::DOUBLE AND l_discount <= 0.04::DOUBLE AND l_quantity < 24"
+
+
+@query(Q6_SQL)
+def q6_forecast(spark: SparkSession, d: str) -> DataFrame:
+    return planner.run(spark, d, Q6_PLAN, Q6_CONSTANTS)
+
+
+@query(Q6_SQL)
+def oblivious_q6(spark: SparkSession, d: str) -> DataFrame:
+    return planner.run(spark, d, Q6_PLAN, Q6_CONSTANTS, oblivious=True)
+
+
+# --- queries of the TPC-H shape ---
+
+
+@query(f"""SELECT l_orderkey, {big(f'sum({money(PRICE_SQL)})')} AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_mktsegment = 'HOUSEHOLD' AND o_orderdate < DATE '1995-03-25' AND l_shipdate > DATE '1995-03-25' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""")
+def q3_top10(spark: SparkSession, d: str) -> DataFrame:
+    customer = table(spark, d, "customer").where(c("c_mktsegment") == "HOUSEHOLD")
+    orders = table(spark, d, "orders").where(c("o_orderdate") < lit("1995-03-25"))
+    lines = table(spark, d, "lineitem").where(c("l_shipdate") > lit("1995-03-25"))
+    joined = R.keyed_join(R.keyed_join(lines, orders, [("l_orderkey", "o_orderkey")]), customer, [("o_custkey", "c_custkey")])
+    return joined.groupBy("l_orderkey", "o_orderdate").agg(total(PRICE).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
+
+
+@query("SELECT o_orderpriority, count(*) AS order_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01' AND l_shipdate > o_orderdate GROUP BY 1")
+def q4_priority(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").where((c("o_orderdate") >= lit("1996-07-01")) & (c("o_orderdate") < lit("1996-10-01")))
+    return R.keyed_join(table(spark, d, "lineitem"), orders, [("l_orderkey", "o_orderkey")]).where("l_shipdate > o_orderdate").groupBy("o_orderpriority").agg(F.count("*").alias("order_count"))
+
+
+@query(f"""SELECT n_name, {big(f'sum({money(PRICE_SQL)})')} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
+JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name""")
+def q5_local_revenue(spark: SparkSession, d: str) -> DataFrame:
+    nation = R.keyed_join(table(spark, d, "nation"), table(spark, d, "region").where("r_name = 'EUROPE'"), [("n_regionkey", "r_regionkey")])
+    supplier = R.keyed_join(table(spark, d, "supplier"), nation, [("s_nationkey", "n_nationkey")])
+    orders = table(spark, d, "orders").where((c("o_orderdate") >= lit("1996-01-01")) & (c("o_orderdate") < lit("1997-01-01")))
+    lines = R.keyed_join(R.keyed_join(table(spark, d, "lineitem"), orders, [("l_orderkey", "o_orderkey")]), supplier, [("l_suppkey", "s_suppkey")])
+    return R.keyed_join(lines, table(spark, d, "customer"), [("o_custkey", "c_custkey"), ("s_nationkey", "c_nationkey")]).groupBy("n_name").agg(total(PRICE).alias("revenue")).orderBy(F.desc("revenue"))
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    supplier = table(spark, d, "supplier").join(n.select(c("n_nationkey").alias("s_nationkey"), c("n_name").alias("supp_nation")), "s_nationkey")
+    customer = table(spark, d, "customer").join(n.select(c("n_nationkey").alias("c_nationkey"), c("n_name").alias("cust_nation"), "n_regionkey"), "c_nationkey")
+    lines = R.keyed_join(table(spark, d, "lineitem"), supplier, [("l_suppkey", "s_suppkey")])
+    return R.keyed_join(R.keyed_join(lines, table(spark, d, "orders"), [("l_orderkey", "o_orderkey")]), customer, [("o_custkey", "c_custkey")])
+
+
+_NATIONS = "lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey"
+
+
+@query(f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, {big(f'sum({money(PRICE_SQL)})')} AS revenue FROM {_NATIONS} WHERE n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_4' AND l_shipdate BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 1, 2, 3")
+def q7_nation_pair(spark: SparkSession, d: str) -> DataFrame:
+    rows = _nations(spark, d).where("supp_nation = 'NATION_1' and cust_nation = 'NATION_4'").where(c("l_shipdate").between(lit("1996-01-01"), lit("1997-12-31")))
+    return rows.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(total(PRICE).alias("revenue"))
+
+
+_Q8 = f"FROM {_NATIONS} JOIN part ON l_partkey = p_partkey JOIN region ON n2.n_regionkey = r_regionkey WHERE r_name = 'AFRICA' AND p_type = 'LARGE' AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"
+
+
+def _q8(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.keyed_join(_nations(spark, d), table(spark, d, "part").where("p_type = 'LARGE'"), [("l_partkey", "p_partkey")])
+    rows = R.keyed_join(rows, table(spark, d, "region").where("r_name = 'AFRICA'"), [("n_regionkey", "r_regionkey")])
+    return rows.where(c("o_orderdate").between(lit("1996-01-01"), lit("1997-12-31"))).withColumns({"o_year": F.year("o_orderdate"), "volume": fx(PRICE)})
+
+
+@query(f"SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, {big(f'sum({money(PRICE_SQL)})')} AS volume {_Q8} GROUP BY 1")
+def q8_volume(spark: SparkSession, d: str) -> DataFrame:
+    return _q8(spark, d).groupBy("o_year").agg(F.sum("volume").alias("volume"))
+
+
+@query(f"SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, CAST(sum(CASE WHEN n1.n_name = 'NATION_1' THEN {money(PRICE_SQL)} ELSE 0 END) AS DOUBLE) / CAST(sum({money(PRICE_SQL)}) AS DOUBLE) AS mkt_share {_Q8} GROUP BY 1")
+def q8_mkt_share(spark: SparkSession, d: str) -> DataFrame:
+    own = F.sum(F.when(c("supp_nation") == "NATION_1", c("volume")).otherwise(0)).cast("double")
+    return _q8(spark, d).groupBy("o_year").agg((own / F.sum("volume").cast("double")).alias("mkt_share"))
+
+
+@query(f"""SELECT c_custkey, c_name, {big(f'sum({money(PRICE_SQL)})')} AS revenue, {money('c_acctbal')} AS acctbal, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1996-06-01' AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
+def q10_returns(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").where((c("o_orderdate") >= lit("1996-03-01")) & (c("o_orderdate") < lit("1996-06-01")))
+    rows = R.keyed_join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), orders, [("l_orderkey", "o_orderkey")])
+    rows = R.keyed_join(R.keyed_join(rows, table(spark, d, "customer"), [("o_custkey", "c_custkey")]), table(spark, d, "nation"), [("c_nationkey", "n_nationkey")])
+    return rows.groupBy("c_custkey", "c_name", fx(c("c_acctbal")).alias("acctbal"), "n_name").agg(total(PRICE).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
+
+
+@query("""SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END) AS BIGINT) AS low_line_count
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'R') AND l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' GROUP BY 1""")
+def q12_modes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").where(condition([{"column": "l_returnflag", "type": "in"}, {"column": "l_shipdate", "type": "greater_equal", "value": "1996-01-01"}, {"column": "l_shipdate", "type": "less_than", "value": "1997-01-01"}], constants={"l_returnflag": ["A", "R"]}))
+    high = c("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return R.keyed_join(rows, table(spark, d, "orders"), [("l_orderkey", "o_orderkey")]).groupBy("l_returnflag").agg(F.sum(F.when(high, 1).otherwise(0)).alias("high_line_count"), F.sum(F.when(high, 0).otherwise(1)).alias("low_line_count"))
+
+
+@query("SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) GROUP BY 1")
+def q13_custdist(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c_count"))
+    return table(spark, d, "customer").join(counts, c("c_custkey") == c("o_custkey"), "left").groupBy(F.coalesce("c_count", lit(0)).alias("c_count")).agg(F.count("*").alias("custdist"))
+
+
+@query(f"SELECT {big(f'''sum(CASE WHEN p_type LIKE 'PROMO%' THEN {money(PRICE_SQL)} ELSE 0 END)''')} AS promo, {big(f'sum({money(PRICE_SQL)})')} AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1996-08-01' AND l_shipdate < DATE '1996-09-01'")
+def q14_promo(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").where((c("l_shipdate") >= lit("1996-08-01")) & (c("l_shipdate") < lit("1996-09-01")))
+    return R.keyed_join(rows, table(spark, d, "part"), [("l_partkey", "p_partkey")]).agg(F.sum(F.when(c("p_type").like("PROMO%"), fx(PRICE)).otherwise(0)).alias("promo"), total(PRICE).alias("revenue"))
+
+
+@query(f"WITH r AS (SELECT l_suppkey, {big(f'sum({money(PRICE_SQL)})')} AS total_revenue FROM lineitem WHERE l_shipdate >= DATE '1996-05-01' AND l_shipdate < DATE '1996-08-01' GROUP BY 1) SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total_revenue = (SELECT max(total_revenue) FROM r)")
+def q15_top_supplier(spark: SparkSession, d: str) -> DataFrame:
+    revenue = table(spark, d, "lineitem").where((c("l_shipdate") >= lit("1996-05-01")) & (c("l_shipdate") < lit("1996-08-01"))).groupBy("l_suppkey").agg(total(PRICE).alias("total_revenue"))
+    best = revenue.where(c("total_revenue") == revenue.agg(F.max("total_revenue")).scalar())
+    return table(spark, d, "supplier").join(best, c("s_suppkey") == c("l_suppkey")).select("s_suppkey", "s_name", "total_revenue")
+
+
+@query(f"SELECT o_orderkey, c_custkey, {money('o_totalprice')} AS totalprice, {big(f'''sum({money('l_quantity')})''')} AS quantity FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 250) GROUP BY o_orderkey, c_custkey, o_totalprice")
+def q18_large_orders(spark: SparkSession, d: str) -> DataFrame:
+    large = table(spark, d, "lineitem").groupBy("l_orderkey").agg(total(c("l_quantity")).alias("quantity")).where(c("quantity") > 250 * codecs.SCALE)
+    orders = R.keyed_join(table(spark, d, "orders"), table(spark, d, "customer"), [("o_custkey", "c_custkey")])
+    return orders.join(large, c("o_orderkey") == c("l_orderkey")).select("o_orderkey", "c_custkey", fx(c("o_totalprice")).alias("totalprice"), "quantity")
+
+
+_GROUPS = [("Brand#11", ["SMALL", "MEDIUM"], 2.0, 12.0, 15), ("Brand#13", ["LARGE", "PROMO"], 14.0, 24.0, 30), ("Brand#25", ["ECONOMY", "STANDARD"], 23.0, 33.0, 45)]
+_Q19 = " OR ".join(f"(p_brand = '{b}' AND p_type IN ({', '.join(repr(t) for t in ts)}) AND l_quantity >= {lo} AND l_quantity <= {hi} AND p_size <= {s})" for b, ts, lo, hi, s in _GROUPS)
+
+
+@query(f"SELECT {big(f'coalesce(sum({money(PRICE_SQL)}), 0)')} AS revenue, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linestatus IN ('O', 'F') AND p_size >= 1 AND ({_Q19})")
+def q19_dnf(spark: SparkSession, d: str) -> DataFrame:
+    groups = [[{"column": "p_brand", "type": "equal", "value": b}, {"column": "p_type", "type": "in", "value": ts}, {"column": "l_quantity", "type": "greater_equal", "value": lo}, {"column": "l_quantity", "type": "less_equal", "value": hi}, {"column": "p_size", "type": "less_equal", "value": s}] for b, ts, lo, hi, s in _GROUPS]
+    common = [{"column": "l_returnflag", "type": "equal", "value": "R"}, {"column": "l_linestatus", "type": "in", "value": ["O", "F"]}, {"column": "p_size", "type": "greater_equal", "value": 1}]
+    rows = R.keyed_join(table(spark, d, "lineitem"), table(spark, d, "part"), [("l_partkey", "p_partkey")]).where(condition(common, groups))
+    return R.aggregate(rows.withColumn("r", fx(PRICE)), [], {"revenue": ("SUM", c("r")), "n": ("COUNT", None)})
+
+
+# --- scans ---
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25")
+def scan_limit(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(25)
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def scan_projection(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part", ["p_partkey", "p_brand"])
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def scan_sql_leaf(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sql_leaf(spark, d, "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def shares_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return tables.recombined(*tables.xor_shares(table(spark, d, "orders", ["o_orderkey", "o_custkey"]), ["o_orderkey", "o_custkey"]), ["o_orderkey", "o_custkey"])
+
+
+@query()
+def synthetic_table(spark: SparkSession, d: str) -> DataFrame:
+    return tables.synthetic(spark, {"rows": 1000, "seed": 3, "fields": {"id": "key", "age": {"range": [18, 90]}, "sex": {"values": ["F", "M"]}}})
+
+
+# --- filters and scalar expressions ---
+
+
+def _expression_query(name: str, kind: str, sign: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = {"op": {"kind": kind}, "operands": [{"input": 1}, {"literal": 25.0, "type": {"type": "FLOAT"}}]}
+        df = table(spark, d, "lineitem", ["l_orderkey", "l_quantity"])
+        return R.filter_rows(df, column_of(e, [c(x) for x in df.columns])).groupBy(lit(1).alias("g")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT CAST(1 AS INTEGER) AS g, count(*) AS n, {big('sum(l_orderkey)')} AS keys FROM lineitem WHERE l_quantity {sign} 25.0"
+
+
+for _n, _k, _s in (("eq", "EQUALS", "="), ("ne", "NOT_EQUALS", "<>"), ("lt", "LESS_THAN", "<"), ("le", "LESS_THAN_OR_EQUAL", "<="), ("gt", "GREATER_THAN", ">"), ("ge", "GREATER_THAN_OR_EQUAL", ">=")):
+    _expression_query(f"filter_cmp_{_n}", _k, _s)
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size > 10 AND p_brand = 'Brand#11') OR NOT p_size < 45")
+def filter_and_or_not(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").where(((c("p_size") > 10) & (c("p_brand") == "Brand#11")) | ~(c("p_size") < 45)).select("p_partkey")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#1', 'Brand#7') AND p_size <= 20")
+def filter_in(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part", ["p_partkey", "p_brand", "p_size"]).where(condition([{"column": "p_brand", "type": "in", "value": ["Brand#1", "Brand#7"]}, {"column": "p_size", "type": "less_equal", "value": 20}])).select("p_partkey", "p_brand")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {money('l_extendedprice + l_tax')} AS plus, {money('l_extendedprice - l_tax')} AS minus, {money('l_quantity * l_tax')} AS times FROM lineitem")
+def project_math(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fx(c("l_extendedprice") + c("l_tax")).alias("plus"), fx(c("l_extendedprice") - c("l_tax")).alias("minus"), fx(c("l_quantity") * c("l_tax")).alias("times"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size FROM part")
+def project_case(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.when(c("p_size") > 25, "big").otherwise("small").alias("size"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS INTEGER) AS i, CAST(p_size AS BIGINT) AS l, CAST(p_size AS DOUBLE) AS f FROM part")
+def project_cast(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", c("p_partkey").cast("int").alias("i"), c("p_size").cast("long").alias("l"), c("p_size").cast("double").alias("f"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size - 10 = 0 THEN 0 ELSE CAST(p_partkey // (p_size - 10) AS BIGINT) END AS q, CASE WHEN p_size - 10 = 0 THEN 0.0::DOUBLE ELSE CAST(p_partkey AS DOUBLE) / (p_size - 10) END AS f FROM part")
+def project_div_zero(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size") - 10
+    e = {"op": {"kind": "DIVIDE"}, "operands": [{"input": 0}, {"input": 1}]}
+    div = {"op": {"kind": "DIV"}, "operands": [{"input": 0}, {"input": 1}]}
+    return table(spark, d, "part").select("p_partkey", column_of(div, [c("p_partkey"), size]).alias("q"), column_of(e, [c("p_partkey").cast("double"), size]).alias("f"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 7 AS BIGINT) AS m FROM part")
+def project_mod(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", (c("p_partkey") % 7).alias("m"))
+
+
+# --- joins ---
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+def join_basic_theta(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    a, b = n.select(c("n_nationkey").alias("a"), c("n_regionkey").alias("ra")), n.select(c("n_nationkey").alias("b"), c("n_regionkey").alias("rb"))
+    return R.basic_join(a, b, (c("a") < c("b")) & (c("ra") == c("rb"))).select("a", "b")
+
+
+@query("SELECT r_name, n_name FROM region, nation")
+def join_cartesian(spark: SparkSession, d: str) -> DataFrame:
+    return R.basic_join(table(spark, d, "region"), table(spark, d, "nation"), None).select("r_name", "n_name")
+
+
+_KEYED = "SELECT l_orderkey, l_linenumber, o_custkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("l_orderkey", "l_linenumber", "o_custkey").agg(F.count("*").alias("n"))
+
+
+@query(_KEYED)
+def join_keyed_fk_left(spark: SparkSession, d: str) -> DataFrame:
+    return _keyed(R.keyed_join(table(spark, d, "lineitem"), table(spark, d, "orders"), [("l_orderkey", "o_orderkey")], check=True))
+
+
+@query(_KEYED)
+def join_keyed_fk_right(spark: SparkSession, d: str) -> DataFrame:
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")  # noqa: E741
+    return _keyed(o.join(l, o["o_orderkey"] == l["l_orderkey"]))
+
+
+@query(_KEYED)
+def join_smj_hint(spark: SparkSession, d: str) -> DataFrame:
+    return _keyed(R.keyed_join(table(spark, d, "lineitem"), table(spark, d, "orders"), [("l_orderkey", "o_orderkey")], "keyed-sort-merge-join"))
+
+
+@query("SELECT o_orderkey, coalesce(l_linenumber, 0) AS l_linenumber, coalesce(l_returnflag, '') AS l_returnflag FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
+def join_left_zero(spark: SparkSession, d: str) -> DataFrame:
+    return R.left_zero_join(table(spark, d, "orders"), table(spark, d, "lineitem"), [("o_orderkey", "l_orderkey")]).select("o_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(year(o_orderdate) AS INTEGER) AS o_orderyear FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def join_column_keyed(spark: SparkSession, d: str) -> DataFrame:
+    pk = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("o_orderyear"))
+    return R.keyed_join(table(spark, d, "lineitem", ["l_orderkey", "l_linenumber"]), pk, [("l_orderkey", "o_orderkey")], drop_key=True)
+
+
+@query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) SELECT c_custkey, o_orderkey FROM a JOIN b USING (p) WHERE c_custkey < o_orderkey + 1000")
+def join_merge_positional(spark: SparkSession, d: str) -> DataFrame:
+    return R.merge_join(table(spark, d, "customer", ["c_custkey"]), table(spark, d, "orders", ["o_orderkey"]), [c("c_custkey")], [c("o_orderkey")], c("c_custkey") < c("o_orderkey") + 1000)
+
+
+# --- aggregates ---
+
+
+@query(f"SELECT count(*) AS n, {big(f'''sum({money('l_quantity')})''')} AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, avg(l_quantity) AS a FROM lineitem")
+def agg_scalar(spark: SparkSession, d: str) -> DataFrame:
+    q = c("l_quantity")
+    return R.aggregate(table(spark, d, "lineitem"), [], {"n": ("COUNT", None), "s": ("SUM", fx(q)), "lo": ("MIN", q), "hi": ("MAX", q), "a": ("AVG", q)})
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, {big(f'''sum({money('l_tax')})''')} AS s, min(l_shipdate)::DATE AS lo, max(l_quantity) AS hi, CAST(sum({money('l_tax')}) AS DOUBLE) / count(*) AS a FROM lineitem GROUP BY 1")
+def agg_group_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.aggregate(table(spark, d, "lineitem"), ["l_returnflag"], {"n": ("COUNT", None), "s": ("SUM", fx(c("l_tax"))), "lo": ("MIN", c("l_shipdate")), "hi": ("MAX", c("l_quantity")), "a": ("AVG", fx(c("l_tax")))})
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
+def agg_count_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return R.aggregate(table(spark, d, "lineitem"), ["l_returnflag"], {"suppliers": ("COUNT_DISTINCT", c("l_suppkey"))})
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def agg_bound(spark: SparkSession, d: str) -> DataFrame:
+    return R.aggregate(table(spark, d, "customer"), ["c_mktsegment"], {"n": ("COUNT", None)}, bound=10)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity < 3 AND l_returnflag = 'A' GROUP BY 1, 2")
+def agg_empty_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.filter_rows(R.oblivious(table(spark, d, "lineitem")), (c("l_quantity") < 3) & (c("l_returnflag") == "A"))
+    return R.aggregate(rows, ["l_returnflag", "l_linestatus"], {"n": ("COUNT", None)})
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
+def agg_having(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12")
+
+
+# --- sorts, sets, codecs ---
+
+
+@query("SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_nationkey, s_suppkey DESC) AS place FROM supplier")
+def sort_multi(spark: SparkSession, d: str) -> DataFrame:
+    return R.positional(table(spark, d, "supplier", ["s_suppkey", "s_nationkey"]), [c("s_nationkey").asc(), c("s_suppkey").desc()], "place")
+
+
+@query(f"SELECT o_orderkey, {money('o_totalprice')} AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def topk(spark: SparkSession, d: str) -> DataFrame:
+    return R.sort_limit(table(spark, d, "orders"), [("o_totalprice", "DESCENDING"), ("o_orderkey", "ASCENDING")], 15).select("o_orderkey", fx(c("o_totalprice")).alias("price"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+def shrinkwrap(spark: SparkSession, d: str) -> DataFrame:
+    return R.shrinkwrap(R.filter_rows(R.oblivious(table(spark, d, "nation")), c("n_regionkey") == 2), 10).select("n_nationkey")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_bag(spark: SparkSession, d: str) -> DataFrame:
+    return R.union_bag(table(spark, d, "customer").select(c("c_nationkey").alias("k")), table(spark, d, "supplier").select(c("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS nk, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10 WHERE c_nationkey IN (1, 4, 7)")
+def multi_union(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(c("c_nationkey").alias("nk"), (c("c_custkey") % 10).alias("k"), "c_custkey")
+    b = table(spark, d, "supplier").select(c("s_nationkey").alias("nk"), (c("s_suppkey") % 10).alias("k"), "s_suppkey")
+    return R.multiple_union(a, b, "nk", [1, 4, 7], "k").drop("k")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE s_nationkey END AS s_nationkey FROM supplier")
+def merge_input(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier", ["s_suppkey", "s_nationkey"])
+    return R.merge_input(s, s.where("s_suppkey % 3 = 0").select("s_suppkey", lit(-1).alias("s_nationkey")), "s_suppkey")
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days, CAST(o_orderdate AS DATE) AS back, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 86400 AS seconds FROM orders")
+def codec_days(spark: SparkSession, d: str) -> DataFrame:
+    days = codecs.relative_days(c("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", days.alias("days"), codecs.date_of_days(days).alias("back"), codecs.epoch_seconds(c("o_orderdate")).alias("seconds"))
+
+
+@query("WITH e AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT trim(c_mktsegment) AS v FROM customer)) SELECT c_custkey, id, v AS back FROM customer JOIN e ON trim(c_mktsegment) = v")
+def codec_enum(spark: SparkSession, d: str) -> DataFrame:
+    customer = table(spark, d, "customer")
+    values = codecs.enum_dictionary(customer, "c_mktsegment")
+    number = codecs.enum_id(c("c_mktsegment"), values)
+    return customer.select("c_custkey", number.alias("id"), codecs.enum_value(number, values).alias("back"))
+
+
+@query(f"SELECT c_custkey, {money('c_acctbal')} AS fixed FROM customer")
+def codec_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", fx(c("c_acctbal")).alias("fixed"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 8 AS INTEGER) AS d0, CAST(o_custkey // 8 % 8 AS INTEGER) AS d1, CAST(o_custkey // 64 % 8 AS INTEGER) AS d2, CAST(o_custkey // 512 % 8 AS INTEGER) AS d3 FROM orders")
+def codec_digits(spark: SparkSession, d: str) -> DataFrame:
+    x = codecs.digits(c("o_custkey"), 8, 4)
+    return table(spark, d, "orders").select("o_orderkey", *[F.get(x, lit(i)).alias(f"d{i}") for i in range(4)])
