@@ -44,7 +44,10 @@ def total(value: Column) -> Column:
     return F.sum(fx(value))
 
 
-PRICE = c("l_extendedprice") * (1 - c("l_discount"))
+def price() -> Column:
+    return c("l_extendedprice") * (1 - c("l_discount"))
+
+
 PRICE_SQL = "l_extendedprice * (1 - l_discount)"
 CHARGE_SQL = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 
@@ -122,7 +125,7 @@ def q3_top10(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where(c("o_orderdate") < lit("1995-03-25"))
     lines = table(spark, d, "lineitem").where(c("l_shipdate") > lit("1995-03-25"))
     joined = R.keyed_join(R.keyed_join(lines, orders, [("l_orderkey", "o_orderkey")]), customer, [("o_custkey", "c_custkey")])
-    return joined.groupBy("l_orderkey", "o_orderdate").agg(total(PRICE).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
+    return joined.groupBy("l_orderkey", "o_orderdate").agg(total(price()).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
 
 
 @query("SELECT o_orderpriority, count(*) AS order_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01' AND l_shipdate > o_orderdate GROUP BY 1")
@@ -138,7 +141,7 @@ def q5_local_revenue(spark: SparkSession, d: str) -> DataFrame:
     supplier = R.keyed_join(table(spark, d, "supplier"), nation, [("s_nationkey", "n_nationkey")])
     orders = table(spark, d, "orders").where((c("o_orderdate") >= lit("1996-01-01")) & (c("o_orderdate") < lit("1997-01-01")))
     lines = R.keyed_join(R.keyed_join(table(spark, d, "lineitem"), orders, [("l_orderkey", "o_orderkey")]), supplier, [("l_suppkey", "s_suppkey")])
-    return R.keyed_join(lines, table(spark, d, "customer"), [("o_custkey", "c_custkey"), ("s_nationkey", "c_nationkey")]).groupBy("n_name").agg(total(PRICE).alias("revenue")).orderBy(F.desc("revenue"))
+    return R.keyed_join(lines, table(spark, d, "customer"), [("o_custkey", "c_custkey"), ("s_nationkey", "c_nationkey")]).groupBy("n_name").agg(total(price()).alias("revenue")).orderBy(F.desc("revenue"))
 
 
 def _nations(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +158,7 @@ _NATIONS = "lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_ord
 @query(f"SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, {big(f'sum({money(PRICE_SQL)})')} AS revenue FROM {_NATIONS} WHERE n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_4' AND l_shipdate BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 1, 2, 3")
 def q7_nation_pair(spark: SparkSession, d: str) -> DataFrame:
     rows = _nations(spark, d).where("supp_nation = 'NATION_1' and cust_nation = 'NATION_4'").where(c("l_shipdate").between(lit("1996-01-01"), lit("1997-12-31")))
-    return rows.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(total(PRICE).alias("revenue"))
+    return rows.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(total(price()).alias("revenue"))
 
 
 _Q8 = f"FROM {_NATIONS} JOIN part ON l_partkey = p_partkey JOIN region ON n2.n_regionkey = r_regionkey WHERE r_name = 'AFRICA' AND p_type = 'LARGE' AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"
@@ -164,7 +167,7 @@ _Q8 = f"FROM {_NATIONS} JOIN part ON l_partkey = p_partkey JOIN region ON n2.n_r
 def _q8(spark: SparkSession, d: str) -> DataFrame:
     rows = R.keyed_join(_nations(spark, d), table(spark, d, "part").where("p_type = 'LARGE'"), [("l_partkey", "p_partkey")])
     rows = R.keyed_join(rows, table(spark, d, "region").where("r_name = 'AFRICA'"), [("n_regionkey", "r_regionkey")])
-    return rows.where(c("o_orderdate").between(lit("1996-01-01"), lit("1997-12-31"))).withColumns({"o_year": F.year("o_orderdate"), "volume": fx(PRICE)})
+    return rows.where(c("o_orderdate").between(lit("1996-01-01"), lit("1997-12-31"))).withColumns({"o_year": F.year("o_orderdate"), "volume": fx(price())})
 
 
 @query(f"SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, {big(f'sum({money(PRICE_SQL)})')} AS volume {_Q8} GROUP BY 1")
@@ -184,7 +187,7 @@ def q10_returns(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where((c("o_orderdate") >= lit("1996-03-01")) & (c("o_orderdate") < lit("1996-06-01")))
     rows = R.keyed_join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), orders, [("l_orderkey", "o_orderkey")])
     rows = R.keyed_join(R.keyed_join(rows, table(spark, d, "customer"), [("o_custkey", "c_custkey")]), table(spark, d, "nation"), [("c_nationkey", "n_nationkey")])
-    return rows.groupBy("c_custkey", "c_name", fx(c("c_acctbal")).alias("acctbal"), "n_name").agg(total(PRICE).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
+    return rows.groupBy("c_custkey", "c_name", fx(c("c_acctbal")).alias("acctbal"), "n_name").agg(total(price()).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
 @query("""SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END) AS BIGINT) AS low_line_count
@@ -204,12 +207,12 @@ def q13_custdist(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {big(f'''sum(CASE WHEN p_type LIKE 'PROMO%' THEN {money(PRICE_SQL)} ELSE 0 END)''')} AS promo, {big(f'sum({money(PRICE_SQL)})')} AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1996-08-01' AND l_shipdate < DATE '1996-09-01'")
 def q14_promo(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where((c("l_shipdate") >= lit("1996-08-01")) & (c("l_shipdate") < lit("1996-09-01")))
-    return R.keyed_join(rows, table(spark, d, "part"), [("l_partkey", "p_partkey")]).agg(F.sum(F.when(c("p_type").like("PROMO%"), fx(PRICE)).otherwise(0)).alias("promo"), total(PRICE).alias("revenue"))
+    return R.keyed_join(rows, table(spark, d, "part"), [("l_partkey", "p_partkey")]).agg(F.sum(F.when(c("p_type").like("PROMO%"), fx(price())).otherwise(0)).alias("promo"), total(price()).alias("revenue"))
 
 
 @query(f"WITH r AS (SELECT l_suppkey, {big(f'sum({money(PRICE_SQL)})')} AS total_revenue FROM lineitem WHERE l_shipdate >= DATE '1996-05-01' AND l_shipdate < DATE '1996-08-01' GROUP BY 1) SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total_revenue = (SELECT max(total_revenue) FROM r)")
 def q15_top_supplier(spark: SparkSession, d: str) -> DataFrame:
-    revenue = table(spark, d, "lineitem").where((c("l_shipdate") >= lit("1996-05-01")) & (c("l_shipdate") < lit("1996-08-01"))).groupBy("l_suppkey").agg(total(PRICE).alias("total_revenue"))
+    revenue = table(spark, d, "lineitem").where((c("l_shipdate") >= lit("1996-05-01")) & (c("l_shipdate") < lit("1996-08-01"))).groupBy("l_suppkey").agg(total(price()).alias("total_revenue"))
     best = revenue.where(c("total_revenue") == revenue.agg(F.max("total_revenue")).scalar())
     return table(spark, d, "supplier").join(best, c("s_suppkey") == c("l_suppkey")).select("s_suppkey", "s_name", "total_revenue")
 
@@ -230,7 +233,7 @@ def q19_dnf(spark: SparkSession, d: str) -> DataFrame:
     groups = [[{"column": "p_brand", "type": "equal", "value": b}, {"column": "p_type", "type": "in", "value": ts}, {"column": "l_quantity", "type": "greater_equal", "value": lo}, {"column": "l_quantity", "type": "less_equal", "value": hi}, {"column": "p_size", "type": "less_equal", "value": s}] for b, ts, lo, hi, s in _GROUPS]
     common = [{"column": "l_returnflag", "type": "equal", "value": "R"}, {"column": "l_linestatus", "type": "in", "value": ["O", "F"]}, {"column": "p_size", "type": "greater_equal", "value": 1}]
     rows = R.keyed_join(table(spark, d, "lineitem"), table(spark, d, "part"), [("l_partkey", "p_partkey")]).where(condition(common, groups))
-    return R.aggregate(rows.withColumn("r", fx(PRICE)), [], {"revenue": ("SUM", c("r")), "n": ("COUNT", None)})
+    return R.aggregate(rows.withColumn("r", fx(price())), [], {"revenue": ("SUM", c("r")), "n": ("COUNT", None)})
 
 
 # --- scans ---
