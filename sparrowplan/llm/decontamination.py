@@ -120,9 +120,14 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
             found = F.filter(_winnowed(h, window - k + 1), lambda v: _bit(b, v, BITMAP))
             return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast(_NONE)).otherwise(_around(w, h, f, k, window - k)))
 
-        parts = [let(_runs(w, k), lookups)]
-        for n in shorts:
-            parts.append(let(_runs(w, n), lambda h, n=n: let(F.array_distinct(F.filter(h, lambda v: _bit(b, v, BITMAP))), lambda f: F.when(F.size(f) == 0, F.array().cast(_NONE)).otherwise(_around(w, h, f, n, 0)))))
+        def short_lookups(n: int) -> Callable[[Column], Column]:
+            def places(h: Column) -> Column:
+                found = F.array_distinct(F.filter(h, lambda v: _bit(b, v, BITMAP)))
+                return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast(_NONE)).otherwise(_around(w, h, f, n, 0)))
+
+            return places
+
+        parts = [let(_runs(w, k), lookups), *[let(_runs(w, n), short_lookups(n)) for n in shorts]]
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
     looked = let(F.col("_bits"), lambda b: let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), candidates(w, b).alias("found"))))
