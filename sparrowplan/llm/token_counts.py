@@ -2,15 +2,17 @@
 
 An Aho-Corasick automaton lists all vocabulary pieces that end at each character; dynamic programming carries the best
 score and its number of pieces. Ties go to the piece that starts earliest, and a character without a piece of its own
-costs ten less than the worst score and counts as its UTF-8 bytes (byte fallback), as the public tokenizer libraries do.
-Spaces become word marks, one is put in front of the text, and every word is segmented by itself, so that each task
-keeps the counts of words it has seen (a cache of bounded size, which never changes a result).
+costs ten less than the worst score and counts as its UTF-8 bytes (byte fallback), as the library of the model file does.
+Spaces become word marks, and one more is put in front of the text. Where no piece goes on to a mark after another
+character, the text falls into independent words, each with all marks before it, so that each task keeps the counts of
+words it has seen (a cache of bounded size, which never changes a result). Control, unknown and byte pieces are no text.
 
 Defined results: null and empty texts have 0 tokens. Input columns stay; `n_tokens` replaces a column of that name.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,15 +23,17 @@ from pyspark.sql import types as T
 from sparrowplan.llm.common import attach, extended, stepped, table
 
 MARK = "▁"
+WORD = re.compile("▁+[^▁]*")
 CACHE_WORDS = 1_000_000
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece model file."""
+    """Pieces and scores of a sentencepiece model file, without those that stand for no text of their own."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    reserved = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)
+    return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not reserved(i)]
 
 
 class Counter:
@@ -42,8 +46,10 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - 10.0
-        # Sums of whole numbers are exact, so that a line feed, if no piece holds one, divides a word into independent parts.
-        self.divide = all(float(s).is_integer() for _, s in pieces) and not any("\n" in p for p, _ in pieces)
+        # Sums of whole numbers are exact, so that the parts of a text that no piece joins are independent of each other.
+        exact = all(float(s).is_integer() for _, s in pieces)
+        self.words = exact and not any(MARK in p.lstrip(MARK) for p, _ in pieces)
+        self.divide = exact and not any("\n" in p for p, _ in pieces)
         self.seen: dict[str, int] = {}
 
     def viterbi(self, word: str) -> int:
@@ -97,11 +103,10 @@ class Counter:
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0]:
-            del words[0]  # the text begins with a mark of its own
-        word = self._word
-        return sum([word(MARK + w) for w in words])
+        marked = MARK + text.replace(" ", MARK)
+        if not self.words:
+            return self._word(marked)
+        return sum(map(self._word, WORD.findall(marked)))
 
 
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "text") -> DataFrame:

@@ -102,18 +102,67 @@ def test_best_fit_against_scan():
         assert max(even) < 5
 
 
-def test_token_counts(docs, none):
+def brute_count(text, pieces):
+    """Forward over all starts; a strictly better score wins, so that ties go to the earliest start."""
+    text = "▁" + text.replace(" ", "▁")
+    known, worst, longest = dict(pieces), min(s for _, s in pieces) - 10, max(len(p) for p, _ in pieces)
+    best = [(0.0, 0)] + [None] * len(text)
+    for a in range(len(text)):
+        score, n = best[a]
+        for b in range(a + 1, min(len(text), a + longest) + 1):
+            part = text[a:b]
+            if part in known:
+                to = (score + known[part], n + 1)
+            elif b == a + 1:
+                to = (score + worst, n + len(part.encode()))
+            else:
+                continue
+            if best[b] is None or to[0] > best[b][0]:
+                best[b] = to
+    return best[-1][1]
+
+
+TOKEN_TEXTS = ["the cat  sat", " lead", "   ", "▁x", "a <s> b</s>", "<0x41><unk>", "tab\tx\n\ny", "naïve ☃ 日本語 \U0001f600", "aaaaaaaaaaaaaaaaaaaaaa", "a\n b\n  c"]
+
+
+def test_token_counts(docs, none, spark):
     import public_tokenizers
-    from tokenizers import Tokenizer, models, pre_tokenizers
 
     pieces = token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    library = Tokenizer(models.Unigram(pieces, 0, True))
-    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    for r in token_counts.count_tokens(docs.where("doc_id <> 6 or doc_id is null"), pieces).collect():
-        assert r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+    some = spark.createDataFrame(list(enumerate(TOKEN_TEXTS)), "doc_id long, text string")
+    for rows in (docs.where("doc_id <> 6 or doc_id is null").select("text"), some.select("text")):
+        for r in token_counts.count_tokens(rows, pieces).collect():
+            assert r["n_tokens"] == (brute_count(r["text"], pieces) if r["text"] else 0), r["text"][:50]
     assert token_counts.count_tokens(none, pieces).count() == 0
 
 
+def test_token_counts_against_library():
+    """The best path of the library's lattice search (its fast path and sums with the lone mark round in 32 bits), the vocabulary taken for a unigram model."""
+    import public_tokenizers
+    import sentencepiece
+
+    pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pb2.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    model.trainer_spec.model_type = 1
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    counter = token_counts.Counter(token_counts.read_pieces(path))
+    for text in ["the", "the cat sat", "a <s> b", "<0x41>", "<unk>x", "the, and of"]:
+        assert counter(text) == len(library.nbest_encode_as_pieces(text, 3)[0]), text
+
+
+def test_token_counts_ties():
+    """Equal scores, pieces that join words, and scores that are no whole numbers."""
+    for gain in (-1.0, -0.3):
+        pieces = [(p, gain * len(p)) for p in ["▁", "a", "b", "ab", "ba", "aba", "▁a", "b▁", "b▁a", "▁▁"]]
+        counter = token_counts.Counter(pieces)
+        for _ in range(300):
+            text = "".join(random.choices("ab é\n", k=random.randint(1, 12)))
+            assert counter(text) == brute_count(text, pieces), text
+
+
 def test_topk(spark):
     rows = [(i, [float((i * 7 + d * 3) % 11 - 5) / 4 for d in range(6)]) for i in range(40)] + [(100, None), (101, []), (102, [1.0, None]), (103, [float("nan")] * 6), (None, [1.0] * 6), (3, [0.5] * 6), (104, [1.0] * 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
