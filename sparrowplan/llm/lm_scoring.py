@@ -44,6 +44,8 @@ END = np.uint64(0x9D39247E33776D41)
 #: Steps by which the logarithm of likelihood ratios is rounded for learning the weights.
 STEP = 8
 ITERATIONS = 60
+#: Logarithms are summed in whole units of this size, so that sums come out alike in any order.
+UNIT = 2.0**-32
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,9 +89,9 @@ def _packed(array: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T).tobytes())
 
 
-def _unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, n).T).view(kind).reshape(n)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 _ROW = "p int, chunk long, n long, head binary, fold binary, w binary, v binary, d binary"
@@ -131,6 +133,7 @@ class _Scorer:
             spread = np.where(number < len(self.h), w + v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), w)
             spread ^= spread >> np.uint64(31)
             p = (spread * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(self.parts)
+            del words, inverse, number, spread
             order = np.argsort((p << np.uint64(40)) | (w >> np.uint64(24)))
             p, w, v, d = p[order], w[order], v[order], doc[order].astype(np.uint16)
             cuts = np.searchsorted(p, np.arange(self.parts + 1, dtype=np.uint64))
@@ -161,14 +164,14 @@ class _Scorer:
                 heads.append((row["chunk"], row["head"]))
                 continue
             n = row["n"]
-            d = _unpacked(row["d"], np.uint16, n)
+            d = _unpacked(row["d"], np.uint16)
             folds = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["fold"]), np.uint8)
             place.append(np.full(n, len(chunks), np.int32))
             chunks.append(row["chunk"])
             doc.append(d)
             fold.append(folds[d])
-            w.append(np.cumsum(_unpacked(row["w"], np.uint64, n), dtype=np.uint64))
-            v.append(_unpacked(row["v"], np.uint32, n))
+            w.append(np.cumsum(_unpacked(row["w"], np.uint64), dtype=np.uint64))
+            v.append(_unpacked(row["v"], np.uint32))
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         return heads, chunks, join(place, np.int32), join(doc, np.uint16), join(fold, np.uint8), join(w, np.uint64), join(v, np.uint32)
 
@@ -181,9 +184,12 @@ class _Scorer:
             frequent = number < len(self.h)
             own[frequent] = table[number[frequent]]
         pair = (inverse.astype(np.uint64) << np.uint64(20)) | v.astype(np.uint64)
+        own = own[inverse]
+        del words, inverse, number
         _, pairs = np.unique(pair, return_inverse=True)
+        del pair
         both = np.bincount(pairs, weight)[pairs] if len(pairs) else np.empty(0)
-        return own[inverse], both
+        return own, both
 
     def evidence(self, group: pa.Table) -> pa.Table:
         """Counts of the deleted tokens by bucket and rounded ratios of the bigram and unigram estimates to the floor."""
@@ -205,15 +211,23 @@ class _Scorer:
         weights = np.frombuffer(group.column("weights")[0].as_py(), np.float64).reshape(BUCKETS, 3)
         heads, chunks, place, doc, fold, w, v = self.gather(group.drop_columns(["weights"]))
         one, two = self.counts(w, v, fold > 0, self.context)
-        mix = weights[self.bucket(v, self.context)]
-        p = mix[:, 0] * np.where(v != len(self.h), two / np.maximum(self.context[v], 1), 0) + mix[:, 1] * one / max(self.tokens, 1) + mix[:, 2] / (self.types + 1)
-        base = np.log10((one + 1) / (self.tokens + self.types + 1))
+        bucket = self.bucket(v, self.context).astype(np.uint8)
+        two /= np.maximum(self.context[v], 1)
+        two[v == len(self.h)] = 0
+        two *= weights[bucket, 0]
+        two += weights[bucket, 1] * one / max(self.tokens, 1)
+        two += weights[bucket, 2] / (self.types + 1)
+        p, known = two, one > 0
+        one += 1
+        one /= self.tokens + self.types + 1
+        base = np.log10(one, out=one)
+        p = np.log10(p, out=p)
+        del w, v, fold, bucket
         # only documents that have tokens here are sent back
         at, inverse = np.unique(place.astype(np.int64) * (1 << 16) + doc, return_inverse=True)
-        sums = [np.bincount(inverse, x, len(at)) for x in (np.log10(p), base, one > 0)]
+        sums = [np.rint(np.bincount(inverse, x, len(at)) / unit).astype(np.uint64) for x, unit in ((p, -UNIT), (base, -UNIT), (known, 1))]
         cuts = np.searchsorted(at, np.arange(len(chunks) + 1, dtype=np.int64) << 16)
-        press = zstandard.ZstdCompressor(level=1).compress
-        rows = [(c, None, press((at[a:b] & 0xFFFF).astype(np.uint16).tobytes()), press(np.concatenate([x[a:b] for x in sums]).tobytes())) for c, a, b in zip(chunks, cuts, cuts[1:])]
+        rows = [(c, None, _packed(np.diff((at[a:b] & 0xFFFF).astype(np.uint16), prepend=np.uint16(0))), _packed(np.concatenate([x[a:b] for x in sums]))) for c, a, b in zip(chunks, cuts, cuts[1:])]
         rows += [(c, h, None, None) for c, h in heads]
         columns = zip(*rows) if rows else [[]] * 4
         return pa.table({n: pa.array(x, k) for n, x, k in zip(("chunk", "head", "docs", "sums"), columns, [pa.int64()] + [pa.binary()] * 3)})
@@ -222,14 +236,14 @@ class _Scorer:
         """The documents of one chunk."""
         rows = group.to_pylist()
         head = pa.deserialize_pandas(next(r["head"] for r in rows if r["head"] is not None))
-        total = np.zeros((3, len(head)))
-        raw = zstandard.ZstdDecompressor().decompress
-        # the same order each time, so that sums come out alike
-        for docs, sums in sorted((r["docs"], r["sums"]) for r in rows if r["docs"] is not None):
-            total[:, np.frombuffer(raw(docs), np.uint16)] += np.frombuffer(raw(sums), np.float64).reshape(3, -1)
+        total = np.zeros((3, len(head)), np.uint64)
+        for r in rows:
+            if r["docs"] is not None:
+                at = np.cumsum(_unpacked(r["docs"], np.uint16), dtype=np.uint16)
+                total[:, at] += _unpacked(r["sums"], np.uint64).reshape(3, -1)
         out = dict(zip(("score", "base", "known"), total))
         n = len(head)
-        return pa.table({"key": pa.array(head["k"], pa.int64()), "held_out": pa.array((head["f"] == 0).to_numpy(bool)), "n_tokens": pa.array(head["n"].to_numpy(np.int64)), "n_known": pa.array(np.rint(out["known"]).astype(np.int64)), "train_tokens": pa.array(np.full(n, self.tokens, np.int64)), "base_score": pa.array(out["base"]), "score": pa.array(out["score"])})
+        return pa.table({"key": pa.array(head["k"], pa.int64()), "held_out": pa.array((head["f"] == 0).to_numpy(bool)), "n_tokens": pa.array(head["n"].to_numpy(np.int64)), "n_known": pa.array(out["known"].astype(np.int64)), "train_tokens": pa.array(np.full(n, self.tokens, np.int64)), "base_score": pa.array(out["base"] * -UNIT), "score": pa.array(out["score"] * -UNIT)})
 
 
 def learn_weights(cells: np.ndarray, n: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
@@ -266,7 +280,7 @@ def score_documents(docs: DataFrame, fold: Column, text: str = "text", key: str
     scorer = _Scorer(h[order], top["c"].to_numpy(np.int64)[order], top["r"].to_numpy(np.int64)[order], tokens, types, kept, parts)
     shipped = spark.sparkContext.broadcast(scorer)  # CONTEXTS words at most
 
-    dealt = rows.mapInArrow(lambda batches: shipped.value.deal(batches), _ROW).repartition(parts, "p")
+    dealt = rows.mapInArrow(lambda batches: shipped.value.deal(batches), _ROW).repartitionById(parts, F.col("p"))  # a part is a partition; hashing it again would put several in one task
     cells = dealt.groupBy("p").applyInArrow(lambda t: shipped.value.evidence(t), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
     def learn(t: pa.Table) -> pa.Table:
