@@ -137,7 +137,7 @@ def test_token_counts(docs, none, spark):
 
 
 def test_token_counts_against_library():
-    """The best path of the library's lattice search (its fast path and sums with the lone mark round in 32 bits), the vocabulary taken for a unigram model."""
+    """The best path of the library's n-best search, on texts without runs of spaces (its plain encoding and such runs differ, see the README), the vocabulary taken for a unigram model."""
     import public_tokenizers
     import sentencepiece
 
