@@ -467,3 +467,57 @@ def codec_fixed(spark: SparkSession, d: str) -> DataFrame:
 def codec_digits(spark: SparkSession, d: str) -> DataFrame:
     x = codecs.digits(c("o_custkey"), 8, 4)
     return table(spark, d, "orders").select("o_orderkey", *[F.get(x, lit(i)).alias(f"d{i}") for i in range(4)])
+
+
+# --- plans that use files of SQL, row positions and table bounds ---
+
+_EQ = lambda a, b: {"op": {"kind": "EQUALS"}, "operands": [{"input": a}, {"input": b}]}
+
+
+@query(f"""SELECT c_mktsegment, count(*) AS n, {big(f"sum({money('o_totalprice')})")} AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY 1""")
+def plan_sql_file(spark: SparkSession, d: str) -> DataFrame:
+    leaves = f"-- 0, collation: (0 ASC)\nSELECT o_custkey, {money('o_totalprice')} AS price\nFROM orders ORDER BY 1;\n-- 1, party: 2\nSELECT c_custkey, c_mktsegment FROM customer\n"
+    rest = {
+        "rels": [
+            {"id": "2", "relOp": "LogicalJoin", "inputs": ["0", "1"], "condition": _EQ(0, 2), "foreign-key": 0, "operator-algorithm": "auto"},
+            {"id": "3", "relOp": "LogicalAggregate", "group": [3], "aggs": [{"agg": "COUNT", "name": "n"}, {"agg": "SUM", "operands": [1], "name": "total"}]},
+        ]
+    }
+    return planner.run(spark, d, planner.with_sql_file(leaves, rest), check=True)
+
+
+@query("""SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier) a
+JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey DESC) AS p FROM supplier) b USING (p) WHERE a.s_suppkey < b.s_suppkey AND a.s_suppkey > 5""")
+def plan_merge_join(spark: SparkSession, d: str) -> DataFrame:
+    leaf = lambda i, way: {"id": i, "relOp": "LogicalValues", "sql": "SELECT s_suppkey FROM supplier", "collation": [{"field": 0, "direction": way}]}
+    less = {"op": {"kind": "LESS_THAN"}, "operands": [{"input": 0}, {"input": 1}]}
+    plan = [
+        leaf("0", "ASCENDING"),
+        {"id": "1", "relOp": "FheFilter", "predicates": [{"column": "s_suppkey", "type": "greater_than", "value": 5}]},
+        leaf("2", "DESCENDING"),
+        {"id": "3", "relOp": "LogicalJoin", "inputs": ["1", "2"], "condition": less, "operator-algorithm": "merge-join", "dummy-handling": "OR", "fields": ["low", "high"]},
+    ]
+    return planner.run(spark, d, {"rels": plan})
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN -s_nationkey ELSE s_nationkey END AS nation FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0")
+def plan_merge_input(spark: SparkSession, d: str) -> DataFrame:
+    sql = lambda value, by: f"SELECT s_suppkey, {value} AS nation, s_suppkey % {by} <> 0 AS dummy_tag FROM supplier"
+    return planner.run(spark, d, {"rels": [{"id": "0", "relOp": "LogicalValues", "operator-algorithm": "merge-input", "sql": sql("s_nationkey", 2), "merge-sql": sql("-s_nationkey", 3), "collation": [{"field": 0, "direction": "ASCENDING"}]}]})
+
+
+@query("SELECT c_nationkey AS nation, c_custkey AS customer, s_nationkey AS same, s_suppkey AS supplier FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_nationkey IN (1, 4, 7)")
+def plan_multiple_union(spark: SparkSession, d: str) -> DataFrame:
+    leaf = {"id": "0", "relOp": "MultipleUnion", "sql1": "SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey = ", "sql2": "SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey = ", "filter": [1, 4, 7]}
+    return planner.run(spark, d, {"rels": [{**leaf, "fields": ["nation", "customer", "same", "supplier"]}]})
+
+
+@query("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT (SELECT count(*) FROM nation)")
+def plan_table_bound(spark: SparkSession, d: str) -> DataFrame:
+    order = [{"field": 1, "direction": "DESCENDING"}, {"field": 0, "direction": "ASCENDING"}]
+    return planner.run(spark, d, {"rels": [{"id": "0", "relOp": "StoredTableScan", "table": "part", "columns": ["p_partkey", "p_size"]}, {"id": "1", "relOp": "LogicalSort", "collation": order, "fetch": {"literal": "nation"}}]})
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def unioned_parties(spark: SparkSession, d: str) -> DataFrame:
+    return tables.unioned_results(spark, [d, d], "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")

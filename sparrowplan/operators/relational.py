@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowplan.functions.codecs import zero_of
+from sparrowplan.sources.tables import stored
 
 DUMMY = "_dummy"
 #: Join hints by the algorithm that a plan names; without one, statistics decide.
@@ -51,8 +52,6 @@ def hinted(df: DataFrame, algorithm: str) -> DataFrame:
     return df.hint(HINTS[algorithm]) if HINTS[algorithm] else df
 
 
-
-
 def basic_join(left: DataFrame, right: DataFrame, predicate: Column | None) -> DataFrame:
     """Any predicate; none gives the Cartesian product."""
     return left.crossJoin(right) if predicate is None else left.join(right, predicate)
@@ -82,22 +81,54 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
 def positional(df: DataFrame, order: list[Column], name: str = "_place", parts: int = 0) -> DataFrame:
     """Rows numbered from 1 in a total order. Without that order positions have no meaning, so it must be given.
 
-    The order is a range-partitioned sort; counts of the parts before shift the numbers, so no task sees all rows.
+    The order is a range-partitioned sort; counts of the parts before shift the numbers, so no task sees all rows. The bounds of the
+    parts come from a sample, which another run may draw differently, so the sorted rows are stored before they are counted.
     """
     if not order:
         raise ValueError("positional operators need an order")
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    ranged = stored(ranged, "places")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return ranged.join(F.broadcast(shift.drop("_n")), "_part").withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1).drop("_part", "_id", "_first", "_before")
 
 
 def merge_join(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], predicate: Column) -> DataFrame:
-    """Rows of equal place side by side, kept where the predicate holds."""
+    """Rows of equal place side by side, kept where the predicate holds; places that only one side has go."""
     return positional(left, left_order).join(positional(right, right_order), "_place").where(predicate).drop("_place")
 
 
+def _side_by_side(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[Column]) -> DataFrame:
+    """All places of two inputs, of which either may be empty; inputs of different lengths are an error at run time."""
+    joined = positional(a, a_order, "_pa").join(positional(b, b_order, "_pb"), F.col("_pa") == F.col("_pb"), "full")
+    if not a.limit(1).count() or not b.limit(1).count():
+        return joined
+    uneven = F.col("_pa").isNull() | F.col("_pb").isNull()
+    return joined.where(F.when(uneven, F.raise_error(F.lit("inputs of different lengths")).cast("boolean")).otherwise(True))
+
+
+def merge_join_tagged(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], predicate: Column, left_dummy: str, right_dummy: str, either: bool = False) -> DataFrame:
+    """Rows of equal place side by side; DUMMY marks those that fail the predicate, or whose sides are both (`either`: not both real) dummies.
+
+    If one side is empty, the other's rows pass with their marks, zeros in place of the missing columns.
+    """
+    joined = _side_by_side(left, right, left_order, right_order)
+    a, b = F.col(left_dummy), F.col(right_dummy)
+    missing = F.col("_pa").isNull() | F.col("_pb").isNull()
+    tag = F.when(missing, F.coalesce(a, b)).otherwise(~predicate | (a | b if either else a & b))
+    columns = [F.coalesce(F.col(n), zero_of(t)).alias(n) for n, t in left.dtypes + right.dtypes if n not in (left_dummy, right_dummy)]
+    return joined.select(*columns, tag.alias(DUMMY))
+
+
+def merge_by_place(a: DataFrame, b: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    """Two versions of one table in one order, place by place: b's row if it is real, else a's. Both carry DUMMY."""
+    ordered = lambda tag: [F.col(f"{tag}{n}").asc() if up else F.col(f"{tag}{n}").desc() for n, up in order]
+    x, y = (d.select(*[F.col(n).alias(f"{tag}{n}") for n in a.columns]) for d, tag in ((a, "a_"), (b, "b_")))
+    takes_b = F.col("_pb").isNotNull() & (F.col("_pa").isNull() | ~F.col(f"b_{DUMMY}"))
+    return _side_by_side(x, y, ordered("a_"), ordered("b_")).select(*[F.when(takes_b, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(n) for n in a.columns])
+
+
 def merge_input(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Two versions of one table row by row: where both have a row, b's is taken."""
     x, y = a.alias("x"), b.alias("y")

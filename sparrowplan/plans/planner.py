@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,8 +24,11 @@ class Node:
     options: dict = field(default_factory=dict, hash=False)
 
 
-KINDS = {"LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan", "FheFilter", "FheAggregate", "FheProject", "SecureContextSwitch", "LogicalFilter", "LogicalProject", "LogicalJoin", "LogicalAggregate", "LogicalSort", "LogicalUnion", "ShrinkWrap"}
-LEAVES = {"LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan"}
+KINDS = {"LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan", "FheFilter", "FheAggregate", "FheProject", "SecureContextSwitch", "LogicalFilter", "LogicalProject", "LogicalJoin", "LogicalAggregate", "LogicalSort", "LogicalUnion", "MultipleUnion", "ShrinkWrap"}
+LEAVES = {"LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan", "MultipleUnion"}
+#: Operators that leave the order of their input's rows as it is.
+KEEP_ORDER = {"LogicalFilter", "FheFilter", "SecureContextSwitch"}
+DIRECTIONS = {"ASC": "ASCENDING", "DESC": "DESCENDING"}
 
 
 def parse(text: str | dict) -> list[Node]:
@@ -44,6 +48,33 @@ def parse(text: str | dict) -> list[Node]:
     return nodes
 
 
+def parse_sql_file(text: str) -> list[dict]:
+    """Leaves of a plan as SQL, each under a line such as `-- 0, collation: (0 ASC, 1 DESC), party: 1`."""
+    leaves: list[dict] = []
+    for line in text.splitlines():
+        head = re.match(r"--\s*(\d+)\s*(?:,|$)(.*)", line)
+        if head:
+            leaf = {"id": head[1], "relOp": "LogicalValues", "sql": ""}
+            if order := re.search(r"collation:\s*\(([^)]*)\)", head[2]):
+                pairs = [x.split() for x in order[1].split(",")]
+                if any(len(x) != 2 or x[1] not in DIRECTIONS for x in pairs):
+                    raise ValueError(f"collation {order[1]}")
+                leaf["collation"] = [{"field": int(n), "direction": DIRECTIONS[d]} for n, d in pairs]
+            if party := re.search(r"party:\s*(\d+)", head[2]):
+                leaf["party"] = int(party[1])
+            leaves.append(leaf)
+        elif leaves and not line.startswith("--"):
+            leaves[-1]["sql"] = f"{leaves[-1]['sql']} {line}".strip()
+        elif line.strip() and not line.startswith("--"):
+            raise ValueError("SQL without a header")
+    return [{**leaf, "sql": leaf["sql"].rstrip("; ")} for leaf in leaves]
+
+
+def with_sql_file(sql: str, plan: str | dict) -> dict:
+    """A plan whose leaves are in a SQL file and whose other operators are in JSON."""
+    return {"rels": parse_sql_file(sql) + (json.loads(plan) if isinstance(plan, str) else plan)["rels"]}
+
+
 def deparse(nodes: list[Node]) -> dict:
     return {"rels": [{"id": n.id, "relOp": n.kind, "inputs": list(n.inputs), **n.options} for n in nodes]}
 
@@ -57,20 +88,64 @@ def explain(nodes: list[Node]) -> str:
     return "\n".join(show(nodes[-1], 0))
 
 
-def run(spark: SparkSession, sf_dir: str, plan: str | dict, constants: dict | None = None, oblivious: bool = False) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, plan: str | dict, constants: dict | None = None, oblivious: bool = False, check: bool = False) -> DataFrame:
+    """The answer of a plan. `check` refuses repeated keys on the primary-key side of joins that name a foreign key.
+
+    Positional operators count rows that filters have marked, so plans with one always run in oblivious mode.
+    """
     done: dict[str, DataFrame] = {}
+    orders: dict[str, list[tuple[str, str]]] = {}
     nodes = parse(plan)
+    oblivious = oblivious or any(n.options.get("operator-algorithm") in ("merge-join", "merge-input") for n in nodes)
     for n in nodes:
-        done[n.id] = _operator(spark, sf_dir, n, [done[i] for i in n.inputs], constants or {}, oblivious)
+        if n.options.get("operator-algorithm") == "merge-join":
+            done[n.id] = _merge_join(*[done[i] for i in n.inputs], *[orders.get(i) for i in n.inputs], n.options)
+        else:
+            done[n.id] = _operator(spark, sf_dir, n, [done[i] for i in n.inputs], constants or {}, oblivious, check)
+        if n.options.get("collation"):
+            orders[n.id] = _collation(done[n.id], n.options)
+        elif n.kind in KEEP_ORDER and n.inputs[0] in orders:
+            orders[n.id] = orders[n.inputs[0]]
     return R.reveal(done[nodes[-1].id])
 
 
-def _operator(spark: SparkSession, sf_dir: str, n: Node, inputs: list[DataFrame], constants: dict, oblivious: bool) -> DataFrame:
+def _collation(df: DataFrame, o: dict) -> list[tuple[str, str]]:
+    visible = [c for c in df.columns if c != R.DUMMY]
+    return [(visible[c["field"]] if isinstance(c["field"], int) else c["field"], c["direction"]) for c in o.get("collation", [])]
+
+
+def _leaf(spark: SparkSession, sf_dir: str, n: Node, oblivious: bool) -> DataFrame:
+    """Stored tables or SQL. A column `dummy_tag` of the SQL becomes the mark; true means a dummy, but a valid row in scans of the Fhe kind."""
+    o = n.options
+    limit = o.get("input-limit", o.get("limit"))
+
+    def tagged(df: DataFrame) -> DataFrame:
+        if "dummy_tag" not in df.columns:
+            return R.oblivious(df) if oblivious else df
+        mark = F.col("dummy_tag").cast("boolean")
+        df = df.withColumn(R.DUMMY, ~mark if n.kind == "FheTableScan" else mark).drop("dummy_tag")
+        return df if oblivious else R.reveal(df)
+
+    if n.kind == "MultipleUnion":
+        sides = [reduce(DataFrame.union, [tables.sql_leaf(spark, sf_dir, f"{o[sql]}{i}").withColumn("_of", F.lit(i)) for i in o["filter"]]) for sql in ("sql1", "sql2")]
+        left, right = (x.toDF(*[f"{tag}{c}" for c in range(len(x.columns) - 1)], "_of") for x, tag in zip(sides, "lr"))
+        out = left.join(right, (left["_of"] == right["_of"]) & (left["l0"] == right["r0"])).drop("_of")
+        names = [c for x in sides for c in x.columns[:-1]]
+        return tagged(out.toDF(*(o.get("fields") or [c if names.count(c) == 1 else f"{c}_{i}" for i, c in enumerate(names)])))
+    df = tables.sql_leaf(spark, sf_dir, o["sql"], limit) if "sql" in o else tables.table(spark, sf_dir, o["table"], o.get("columns"), limit)
+    if o.get("operator-algorithm") != "merge-input":
+        return tagged(df)
+    a, b = tagged(df), tagged(tables.sql_leaf(spark, sf_dir, o["merge-sql"], limit))
+    order = _collation(a, o)
+    if not order:
+        raise ValueError("a merged input needs a collation")
+    return R.merge_by_place(a, b, [(c, d == "ASCENDING") for c, d in order])
+
+
+def _operator(spark: SparkSession, sf_dir: str, n: Node, inputs: list[DataFrame], constants: dict, oblivious: bool, check: bool = False) -> DataFrame:
     o = n.options
     if n.kind in LEAVES:
-        limit = o.get("input-limit", o.get("limit"))
-        df = tables.sql_leaf(spark, sf_dir, o["sql"], limit) if "sql" in o else tables.table(spark, sf_dir, o["table"], o.get("columns"), limit)
-        return R.oblivious(df) if oblivious else df
+        return _leaf(spark, sf_dir, n, oblivious)
     df = inputs[0]
     visible = [c for c in df.columns if c != R.DUMMY]
     if n.kind == "FheFilter":
@@ -94,24 +169,48 @@ def _operator(spark: SparkSession, sf_dir: str, n: Node, inputs: list[DataFrame]
             functions[a["name"]] = (name, value)
         return R.aggregate(df, keys, functions, o.get("cardinality-bound", 0))
     if n.kind == "LogicalSort":
-        return R.sort_limit(df, [(visible[c["field"]] if isinstance(c["field"], int) else c["field"], c["direction"]) for c in o.get("collation", [])], o.get("fetch", {}).get("literal"))
+        most = o.get("fetch", {}).get("literal")
+        if isinstance(most, str):  # the size of a table, or a number as text
+            most = int(most) if most.isdigit() else tables.table(spark, sf_dir, most).count()
+        return R.sort_limit(df, _collation(df, o), most)
     if n.kind == "LogicalUnion":
         return R.union_bag(*inputs)
     if n.kind == "ShrinkWrap":
         return R.shrinkwrap(df, o["output-cardinality"])
     if n.kind == "SecureContextSwitch":
         return df  # moves data between protections that this engine doesn't have
-    return _join(inputs[0], inputs[1], o)
+    return _join(inputs[0], inputs[1], o, check)
 
 
-def _join(left: DataFrame, right: DataFrame, o: dict) -> DataFrame:
-    """Columns get names of their own (c0, c1, ...) as both sides may share some."""
-    tags = [R.DUMMY in x.columns for x in (left, right)]
+def _apart(left: DataFrame, right: DataFrame, o: dict) -> tuple[DataFrame, DataFrame, list[list[str]], list[str]]:
+    """Both sides with column names of their own (c0, c1, ...; marks _dl, _dr), as they may share some; the names shown; the output's names."""
     shown = [[c for c in x.columns if c != R.DUMMY] for x in (left, right)]
     width = len(shown[0])
-    l = left.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(shown[0])], *([F.col(R.DUMMY).alias("_dl")] if tags[0] else []))  # noqa: E741
-    r = right.select(*[F.col(c).alias(f"c{width + i}") for i, c in enumerate(shown[1])], *([F.col(R.DUMMY).alias("_dr")] if tags[1] else []))
-    names = [f"c{i}" for i in range(width + len(shown[1]))]
+    l = left.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(shown[0])], *([F.col(R.DUMMY).alias("_dl")] if R.DUMMY in left.columns else []))  # noqa: E741
+    r = right.select(*[F.col(c).alias(f"c{width + i}") for i, c in enumerate(shown[1])], *([F.col(R.DUMMY).alias("_dr")] if R.DUMMY in right.columns else []))
+    return l, r, shown, o.get("fields") or [c if shown[0].count(c) + shown[1].count(c) == 1 else f"{c}_{i}" for i, c in enumerate(shown[0] + shown[1])]
+
+
+def _merge_join(left: DataFrame, right: DataFrame, left_order: list | None, right_order: list | None, o: dict) -> DataFrame:
+    if not left_order or not right_order:
+        raise ValueError("a merge join needs sorted inputs")
+    l, r, shown, fields = _apart(left, right, o)  # noqa: E741
+    width = len(shown[0])
+    names = [f"c{i}" for i in range(len(fields))]
+    by = lambda order, columns, at: [F.col(f"c{at + columns.index(n)}").asc() if d == "ASCENDING" else F.col(f"c{at + columns.index(n)}").desc() for n, d in order]
+    out = R.merge_join_tagged(l, r, by(left_order, shown[0], 0), by(right_order, shown[1], width), column_of(o["condition"], [F.col(c) for c in names]), "_dl", "_dr", o.get("dummy-handling") == "OR")
+    return out.select(*[F.col(c).alias(f) for c, f in zip(names, fields)], R.DUMMY)
+
+
+def _join(left: DataFrame, right: DataFrame, o: dict, check: bool = False) -> DataFrame:
+    tags = [R.DUMMY in x.columns for x in (left, right)]
+    l, r, shown, fields = _apart(left, right, o)  # noqa: E741
+    width = len(shown[0])
+    names = [f"c{i}" for i in range(len(fields))]
+    foreign = o.get("foreign-key", o.get("foreignKey"))
+    if check and foreign is not None:
+        side = 1 - int(foreign)
+        R.assert_unique(R.reveal((left, right)[side]), [shown[side][k[side]] for k in equi_keys(o["condition"], width)])
     kind = o.get("joinType", "inner")
     predicate = column_of(o["condition"], [F.col(c) for c in names]) if "condition" in o else None
     algorithm = o.get("operator-algorithm", "")
@@ -125,6 +224,5 @@ def _join(left: DataFrame, right: DataFrame, o: dict) -> DataFrame:
     else:
         raise ValueError(f"unknown join {kind}")
     dummies = [F.col(c) for c in ("_dl", "_dr") if c in out.columns]
-    fields = o.get("fields") or [c if shown[0].count(c) + shown[1].count(c) == 1 else f"{c}_{i}" for i, c in enumerate(shown[0] + shown[1])]
     tag = [reduce(lambda a, b: a | b, dummies).alias(R.DUMMY)] if dummies else []
     return out.select(*[F.col(c).alias(f) for c, f in zip(names, fields)], *tag)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +32,54 @@ def sql_leaf(spark: SparkSession, sf_dir: str, sql: str, limit: int | None = Non
     return df if limit is None else df.limit(limit)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the folder that driver and executors share (`spark.checkpoint.dir`, else one of our own) and read back.
+
+    What isn't the same when computed twice, such as positions, is thus computed once, and lost executors cost no more than a task.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparrowplan-"))
+        root = spark.sparkContext.getCheckpointDir()
+    path = f"{root}/sparrowplan/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unioned_results(spark: SparkSession, folders: list[str], sql: str) -> DataFrame:
+    """The rows that a query gives on each party's tables, together."""
+    return reduce(DataFrame.union, [sql_leaf(spark, d, sql) for d in folders])
+
+
+def jdbc(spark: SparkSession, url: str, sql: str, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A query answered by a database. `split` (whole-number column, low, high, parts) reads it in parts, one task each.
+
+    Column choices and filters put on the result are sent to the database.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({sql}) t").options(**options)
+    if split:
+        column, low, high, parts = split
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """A table with its schema, to be read by `load_table`."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def insert_table(df: DataFrame, path: str) -> None:
+    """Rows added to a saved table; other column names or types are refused."""
+    if df.dtypes != load_table(df.sparkSession, path).dtypes:
+        raise ValueError("rows of another schema")
+    df.write.mode("append").parquet(path)
+
+
 def parse_schema(text: str) -> T.StructType:
     """`(table.field:TYPE, name:varchar(25))` as a schema."""
     fields = []

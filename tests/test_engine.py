@@ -108,3 +108,75 @@ def test_filter_reaches_the_scan(spark):
     df = tables.table(spark, SF, "lineitem").where("l_quantity < 3").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), LessThan(l_quantity,3.0)]" in plan and "l_tax" not in plan
+
+
+def test_sql_files():
+    leaves = planner.parse_sql_file("-- 0, collation: (0 ASC, 2 DESC), party: 1\nSELECT a,\n  b, c FROM t;\n\n-- 3\nSELECT 1\n-- a remark\n")
+    assert leaves == [{"id": "0", "relOp": "LogicalValues", "sql": "SELECT a,   b, c FROM t", "collation": [{"field": 0, "direction": "ASCENDING"}, {"field": 2, "direction": "DESCENDING"}], "party": 1}, {"id": "3", "relOp": "LogicalValues", "sql": "SELECT 1"}]
+    for wrong in ("SELECT 1", "-- 0, collation: (0 UP)\nSELECT 1"):
+        with pytest.raises(ValueError):
+            planner.parse_sql_file(wrong)
+
+
+def test_positions_are_gapless_and_in_order(spark):
+    df = tables.table(spark, "/root/testdata/sf0.01", "lineitem").select("l_partkey", "l_orderkey", F.xxhash64("*").alias("h")).distinct()
+    got = R.positional(df, [F.desc("l_partkey"), F.asc("l_orderkey"), F.asc("h")]).toPandas().sort_values("_place")
+    assert got["_place"].tolist() == list(range(1, df.count() + 1))
+    assert got.sort_values(["l_partkey", "l_orderkey", "h"], ascending=[False, True, True])["_place"].is_monotonic_increasing
+
+
+def test_merge_joins(spark):
+    a = R.oblivious(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, s string")).withColumnRenamed(R.DUMMY, "_dl")
+    b = R.oblivious(spark.createDataFrame([(1,), (9,), (3,)], "v int")).withColumnRenamed(R.DUMMY, "_dr")
+    join = lambda x, y: sorted(tuple(r) for r in R.reveal(R.merge_join_tagged(x, y, [F.col("k")], [F.col("v")], F.col("k") == F.col("v"), "_dl", "_dr")).collect())
+    assert join(a, b) == [(1, "a", 1)]
+    assert join(a, b.limit(0)) == [(1, "a", 0), (2, "b", 0), (3, "c", 0)] and join(a.limit(0), b) == [(0, "", 1), (0, "", 3), (0, "", 9)]
+    assert join(a.limit(0), b.limit(0)) == []
+    with pytest.raises(Exception, match="different lengths"):
+        join(a, b.where("v < 9"))
+
+
+def test_a_merge_join_needs_orders(spark):
+    leaf = lambda i: {"id": i, "relOp": "StoredTableScan", "table": "region"}
+    plan = {"rels": [leaf("0"), leaf("1"), {"id": "2", "relOp": "LogicalJoin", "inputs": ["0", "1"], "operator-algorithm": "merge-join", "condition": {"literal": True}}]}
+    with pytest.raises(ValueError, match="sorted"):
+        planner.run(spark, SF, plan)
+
+
+def test_repeated_primary_keys_of_a_plan_are_refused(spark):
+    scan = lambda i, t: {"id": i, "relOp": "StoredTableScan", "table": t}
+    join = {"id": "2", "relOp": "LogicalJoin", "inputs": ["0", "1"], "condition": {"op": {"kind": "EQUALS"}, "operands": [{"input": 0}, {"input": 9}]}, "foreign-key": 1}
+    plan = {"rels": [{**scan("0", "orders"), "columns": ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"]}, {**scan("1", "customer")}, {**join, "condition": {"op": {"kind": "EQUALS"}, "operands": [{"input": 0}, {"input": 4}]}}]}
+    assert planner.run(spark, SF, plan).count() > 0
+    with pytest.raises(ValueError, match="no primary key"):
+        planner.run(spark, SF, plan, check=True)
+
+
+def test_dummy_tags_of_leaf_sql(spark):
+    for kind, left in (("LogicalValues", 4), ("FheTableScan", 1)):
+        plan = {"rels": [{"id": "0", "relOp": kind, "sql": "SELECT r_regionkey, r_regionkey = 2 AS dummy_tag FROM region"}]}
+        for oblivious in (False, True):
+            df = planner.run(spark, SF, plan, oblivious=oblivious)
+            assert df.columns == ["r_regionkey"] and df.count() == left
+
+
+def test_saved_tables(spark, tmp_path):
+    path, df = str(tmp_path / "t"), spark.createDataFrame([(1, "x")], "a int, b string")
+    tables.save_table(df, path)
+    tables.insert_table(df, path)
+    assert tables.load_table(spark, path).collect() == df.union(df).collect()
+    with pytest.raises(ValueError):
+        tables.insert_table(df.select("b", "a"), path)
+
+
+def test_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    try:
+        spark._jvm.java.lang.Class.forName(driver["driver"])
+    except Exception:
+        pytest.skip("no database driver")
+    spark.range(20).selectExpr("id", "id * 2 AS twice").write.jdbc(url, "numbers", properties=driver)
+    whole = tables.jdbc(spark, url, "SELECT \"id\" AS id, \"twice\" AS twice FROM numbers", **driver)
+    parts = tables.jdbc(spark, url, "SELECT \"id\" AS id, \"twice\" AS twice FROM numbers", ("ID", 0, 20, 4), **driver)
+    assert parts.rdd.getNumPartitions() == 4
+    assert sorted(parts.collect()) == sorted(whole.collect()) and whole.where("TWICE > 30").count() == 4
