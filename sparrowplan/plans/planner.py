@@ -79,11 +79,47 @@ def deparse(nodes: list[Node]) -> dict:
     return {"rels": [{"id": n.id, "relOp": n.kind, "inputs": list(n.inputs), **n.options} for n in nodes]}
 
 
-def explain(nodes: list[Node]) -> str:
+def bounds(nodes: list[Node], leaf_rows: dict[str, int]) -> dict[str, int]:
+    """The most rows each operator can give, from the rows of the leaves; in oblivious mode that many are carried.
+
+    A join that names its foreign key gives that side's rows, any other join the product; no keys in an aggregate give one row.
+    """
+    out: dict[str, int] = {}
+    for n in nodes:
+        o, rows = n.options, [out[i] for i in n.inputs]
+        if n.kind in LEAVES:
+            most = leaf_rows[n.id]
+            limit = o.get("input-limit", o.get("limit"))
+        elif n.kind == "LogicalJoin":
+            foreign = o.get("foreign-key", o.get("foreignKey"))
+            if o.get("operator-algorithm") == "merge-join":
+                most = max(rows)
+            elif foreign is None:
+                most = rows[0] if o.get("joinType") == "left" else rows[0] * rows[1]
+            else:
+                most = rows[int(foreign)]
+            limit = None
+        elif n.kind in ("LogicalAggregate", "FheAggregate"):
+            most = rows[0] if o.get("group") else 1
+            limit = o.get("cardinality-bound") or None
+        elif n.kind == "LogicalUnion":
+            most, limit = sum(rows), None
+        else:
+            most = rows[0]
+            literal = o.get("fetch", {}).get("literal")
+            limit = int(literal) if str(literal).isdigit() else o.get("output-cardinality")
+        out[n.id] = most if limit is None else min(most, int(limit))
+    return out
+
+
+def explain(nodes: list[Node], leaf_rows: dict[str, int] | None = None) -> str:
+    """The tree of operators; with the rows of the leaves, also the bound of each."""
     by_id = {n.id: n for n in nodes}
+    most = bounds(nodes, leaf_rows) if leaf_rows is not None else {}
 
     def show(n: Node, depth: int) -> list[str]:
-        return [f"{'  ' * depth}{n.kind} #{n.id}"] + [x for i in n.inputs for x in show(by_id[i], depth + 1)]
+        told = f", {most[n.id]} rows at most" if most else ""
+        return [f"{'  ' * depth}{n.kind} #{n.id}{told}"] + [x for i in n.inputs for x in show(by_id[i], depth + 1)]
 
     return "\n".join(show(nodes[-1], 0))
 

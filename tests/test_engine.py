@@ -25,6 +25,19 @@ def test_plan_round_trip_and_explain():
     nodes = planner.parse(PLAN)
     assert planner.parse(planner.deparse(nodes)) == nodes
     assert planner.explain(nodes).splitlines()[0] == "LogicalSort #5"
+    assert planner.explain(nodes, {"0": 20, "1": 3}).splitlines()[0] == "LogicalSort #5, 60 rows at most"
+
+
+def test_row_bounds():
+    rels = [
+        {"id": "0", "relOp": "StoredTableScan", "table": "orders", "limit": 50},
+        {"id": "1", "relOp": "StoredTableScan", "table": "customer"},
+        {"id": "2", "relOp": "LogicalJoin", "inputs": ["0", "1"], "condition": {"literal": True}, "foreign-key": 0},
+        {"id": "3", "relOp": "LogicalUnion", "inputs": ["2", "2"]},
+        {"id": "4", "relOp": "LogicalSort", "collation": [{"field": 0, "direction": "ASCENDING"}], "fetch": {"literal": 70}},
+        {"id": "5", "relOp": "LogicalAggregate", "aggs": [{"agg": "COUNT", "name": "n"}]},
+    ]
+    assert list(planner.bounds(planner.parse({"rels": rels}), {"0": 80, "1": 9}).values()) == [50, 9, 50, 100, 70, 1]
 
 
 def test_oblivious_plan_gives_the_fast_answer(spark):
