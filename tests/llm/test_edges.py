@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -216,6 +218,43 @@ def test_lm(docs, none, spark):
     assert lm_scoring.score_documents(docs, F.lit(0)).count() == len(ROWS)
 
 
+def brute_lm(texts, folds):
+    """Scores with an estimate for every context."""
+    import numpy as np
+
+    start, end = "\n", " "
+    tokens = [[*t.lower().split(), end] for t in texts]
+    count = lambda kept: (collections.Counter(w for t, f in zip(tokens, folds) if f in kept for w in t), collections.Counter(x for t, f in zip(tokens, folds) if f in kept for x in zip([start, *t], t)))
+
+    def bucket(v, one):
+        c = one[end] if v == start else one[v]
+        return lm_scoring.START if v == start else int(math.log2(c)) if c else lm_scoring.UNSEEN, max(c, 1)
+
+    (one, two), (kept_one, kept_two) = count({1, 2}), count({1})
+    floor = 1 / (len(one) + 1)
+    step = lambda f: round(lm_scoring.STEP * math.log2(f / floor)) if f > 0 else -32768
+    cells = collections.Counter({lm_scoring.UNSEEN << 32: 1})
+    for t, f in zip(tokens, folds):
+        for v, w in zip([start, *t], t) if f == 2 else ():
+            b, c = bucket(v, kept_one)
+            cells[b << 32 | step(kept_two[v, w] / c) + 32768 << 16 | step(kept_one[w] / sum(kept_one.values())) + 32768] += 1
+    weights = lm_scoring.learn_weights(np.array(list(cells)), np.array(list(cells.values())))
+    score = lambda v, w, b, c: math.log10(weights[b] @ [two[v, w] / c, one[w] / sum(one.values()), floor])
+    return [sum(score(v, w, *bucket(v, one)) for v, w in zip([start, *t], t)) for t in tokens]
+
+
+def test_lm_estimates_every_context(spark):
+    """Rare contexts are estimated as frequent ones are, whatever words' counts are broadcast."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 200}" for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_lm(texts, [(0, 2, 1, 1)[i % 4] for i in range(len(texts))])
+    fold = F.when(F.col("doc_id") % 4 == 0, 0).when(F.col("doc_id") % 4 == 1, 2).otherwise(1)
+    for frequent in (0, 5, 10**5):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df, fold, "text", "doc_id", frequent).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6), frequent
+
+
 def test_jaccard(docs, none):
     got = jaccard_join.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
