@@ -2,8 +2,8 @@
 
 A document is the set of its terms (runs of letters, A-Z lower-cased, and prefixes of them), each hashed to 32 bits. The score is the logistic
 function of a bias, a weight for each term, and the products of short vectors for each pair of terms, so that the machine can learn
-that two terms together mean what neither does alone. Only terms seen in MIN_DOCUMENTS documents of the training sample, whose
-labels differ from the base rate, have parameters. It is trained on a bounded, deterministic sample of labelled rows (TRAIN_ROWS, about).
+that two terms together mean what neither does alone. Only terms seen in MIN_DOCUMENTS documents of the training sample have
+parameters. It is trained on a bounded, deterministic sample of labelled rows (TRAIN_ROWS, about).
 
 Defined results: null and empty texts get the score of the bias alone. Rows without a label, or with a null id or label, teach nothing; if a document
 has several labels the highest holds. Without any label the score is 0. Repeated rows are scored alike. Input columns stay;
@@ -25,9 +25,6 @@ from sparrowplan.llm.common import LETTERS, STEP_BYTES, attach, byte_texts, docu
 
 TRAIN_ROWS = 20_000
 MIN_DOCUMENTS = 8
-#: Terms with parameters: those whose rate of toxic documents is so many standard errors from the base rate, so many at most.
-LEAST_Z = 2.5
-MAX_TERMS = 30_000
 FACTORS = 4
 #: Prefixes, in bytes, that are terms too, so that inflected forms share what is learned.
 PREFIXES = (4, 5, 6)
@@ -74,8 +71,8 @@ def fit(terms: np.ndarray, starts: np.ndarray, y: np.ndarray, factors: int = FAC
         return Machine(np.empty(0, np.uint32), -np.inf, np.empty(0), np.empty((0, factors)))
     names, n = np.unique(terms, return_counts=True)
     names = names[n >= least]
-    doc = np.repeat(np.arange(len(y)), np.diff(starts))
-    at = np.minimum(np.searchsorted(names, terms), max(0, len(names) - 1))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
+    at = np.minimum(np.searchsorted(names, terms), max(0, len(names) - 1)).astype(np.int32)
     known = names[at] == terms if len(names) else np.zeros(len(terms), bool)
     at, doc = at[known], doc[known]
     starts = np.searchsorted(doc, np.arange(len(y) + 1))
@@ -123,32 +120,33 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     kinds = T.StructType([known.schema["k"], T.StructField("y", T.IntegerType()), T.StructField("terms", T.BinaryType())])
     sets = stored(joined.select("k", "y", "t").mapInArrow(terms, kinds), "toxicity-sample")
-    stats = sets.mapInArrow(_term_counts, "h long, n long, n1 long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= MIN_DOCUMENTS)
-    total, toxic = (float(x or 0) for x in sets.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first())
-    rate = min(max(toxic / max(total, 1), 1e-6), 1 - 1e-6)
-    z = F.abs(F.col("n1") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    told = stats.select("h", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(MAX_TERMS).toPandas()
-    shipped = docs.sparkSession.sparkContext.broadcast(np.sort(told["h"].to_numpy(np.int64)).astype(np.uint32))  # MAX_TERMS
-
-    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stats = sets.mapInArrow(_term_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
+    names = np.sort(stats.select("h").toPandas()["h"].to_numpy(np.int64)).astype(np.uint32)
+    shipped = docs.sparkSession.sparkContext.broadcast(names)  # bounded by the sample: a term for MIN_DOCUMENTS of its entries at most
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.intersect1d(np.frombuffer(x, np.uint32), shipped.value, assume_unique=True).tobytes() for x in batch.column(2).to_pylist()]
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            kept = [x[shipped.value[np.minimum(np.searchsorted(shipped.value, x), len(shipped.value) - 1)] == x].tobytes() if len(shipped.value) else b"" for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["k", "y", "terms"])
 
-    got = sets.mapInArrow(telling, kinds).orderBy("k", "terms").collect()  # a bounded sample of rows, with few terms each
-    found = [np.frombuffer(bytes(r["terms"]), np.uint32) for r in got]
-    return fit(np.concatenate(found) if found else np.empty(0, np.uint32), np.cumsum([0] + [len(x) for x in found]), np.array([float(r["y"] > 0) for r in got]))
+    got = sets.mapInArrow(frequent, kinds).orderBy("k", "terms").select("y", "terms").toArrow()  # a bounded sample of rows, 4 bytes a term
+    found = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("terms")]
+    y = (got.column("y").to_numpy() > 0).astype(float)
+    starts = np.cumsum([0] + [len(x) for x in found])
+    entries = np.concatenate(found) if found else np.empty(0, np.uint32)
+    del got, found
+    return fit(entries, starts, y)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents, and toxic documents, that have each term; summed over the rows of a batch."""
+    """Documents that have each term; summed over the rows of a batch."""
     for batch in batches:
         sets = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
         if not sets:
             continue
-        y = np.repeat(np.array(batch.column(1).to_pylist()) > 0, [len(x) for x in sets])
-        h, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n), pa.array(np.bincount(inverse, y, len(h)).astype(np.int64))], names=["h", "n", "n1"])
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], names=["h", "n"])
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:

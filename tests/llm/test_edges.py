@@ -302,6 +302,18 @@ def test_toxicity_learns_pairs(spark):
     assert (p == (y > 0)).mean() > 0.97
 
 
+def test_toxicity_trains_pairs_of_neutral_terms(spark):
+    """Two terms that alone tell nothing: exactly one of them is toxic, both or none is not."""
+    rng = random.Random(1)
+    words = ["aa", "bb", *(f"{c}{c}" for c in "cdefgh")]
+    sets = [[w for w in words if rng.random() < 0.5] for _ in range(4000)]
+    toxic = [int(("aa" in s) != ("bb" in s)) for s in sets]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    machine = toxicity.train(df, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, machine).collect()}
+    assert sum(got[i] == y for i, y in enumerate(toxic)) > 0.97 * len(sets)
+
+
 def test_decontamination(docs, none, spark):
     w = [f"b{i}" for i in range(40)]
     items = spark.createDataFrame([(1, " ".join(w)), (2, "short item here"), (3, None), (4, "!!"), (None, "null id words"), (1, " ".join(w))], "item_id long, text string")
