@@ -207,10 +207,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
-def keep_known_language(docs: DataFrame, model: LanguageModel, least: float = 0.34) -> DataFrame:
-    """The documents in a learned language that makes up at least `least` of them; `und` is rejected."""
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+def keep_known_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents in learned languages, however many of them share a document; only `und` is rejected."""
+    return identify(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 QUERIES = {"op1_language_id": op1_language_id}

@@ -54,6 +54,16 @@ def test_language_mixture(spark):
     assert sorted(r["languages"]) == ["en", "fr"] and min(r["proportions"]) > 0.3
 
 
+def test_even_mixtures_are_kept(spark):
+    """A document evenly in four learned languages is in known languages, though none makes up a third of it."""
+    texts = ["the cat sat on the mat and then the dog", "le chien est dans la maison avec les enfants", "der hund schläft unter dem großen küchentisch", "zwykły kot śpi pod wysokim drzewem każdego dnia"]
+    train = spark.createDataFrame([(i, texts[i % 4], str(i % 4)) for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.train(train)
+    docs = spark.createDataFrame([(1, " ".join((t + " ") * 20 for t in texts)), (2, texts[0]), (3, "123"), (4, None)], "doc_id long, text string")
+    assert language_id.identify(docs, model).where("doc_id = 1").first()["score"] < 0.34
+    assert sorted(r["doc_id"] for r in language_id.keep_known_language(docs, model).collect()) == [1, 2]
+
+
 def brute_lines(texts, least):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
     lines = [(t or "").split("\n") for t in texts]
