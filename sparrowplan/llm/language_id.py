@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from sparrowplan.llm.common import attach, extended, mixed, remainder, stepped, table
 
-#: Trigrams are hashed into so many buckets; with MAX_LANGUAGES this bounds the model.
+#: Trigrams are hashed into so many buckets: 256 KB of model a language.
 BUCKET_BITS = 16
-#: The languages learned: those with the most labelled documents.
-MAX_LANGUAGES = 64
+#: All labels are learned. More of them than this (128 MB of model) aren't languages, or need another model: an error, as none may be left out.
+MOST_LANGUAGES = 512
 #: Documents sampled for each language, about.
 TRAIN_DOCUMENTS = 4000
 #: Penalty for a further language, in units of the logarithm of the number of trigrams.
@@ -101,27 +101,33 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", documents: int = TRAIN_DOCUMENTS) -> LanguageModel:
     """Trigram log-probabilities from about `documents` rows of each language, chosen by a hash of the key."""
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("l")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels in {label}")
     names = sorted(sizes)
+    codes = {name: i for i, name in enumerate(names)}
     if not names:
         return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
     share = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(min(1.0, documents / sizes[name])))])
-    sample = known.where(F.col("l").isin(names)).where((F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("l")])
+    sample = known.where((F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("l")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stepped(batches, "t", 4 * PIECE):
             doc, bucket, n = trigrams(batch.column(0).to_pylist())
-            code = np.array([names.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            code = np.array([codes[x] for x in batch.column(1).to_pylist()], np.int64)
             cell, inverse = np.unique((code[doc] << BUCKET_BITS) | bucket, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(inverse, n).astype(np.int64) if len(cell) else cell)], names=["cell", "n"])
 
-    # at most MAX_LANGUAGES x 2^BUCKET_BITS rows
+    # at most MOST_LANGUAGES x 2^BUCKET_BITS rows
     rows = sample.select("t", "l").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(names), 1 << BUCKET_BITS))
-    counts.reshape(-1)[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy()
     smooth = 0.2
-    log_p = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * counts.shape[1]))
-    return LanguageModel(names, log_p.T.astype(np.float32))
+    log_p = np.empty((1 << BUCKET_BITS, len(names)), np.float32)
+    for i in range(len(names)):
+        own = cell >> BUCKET_BITS == i
+        counts = np.bincount(cell[own] & ((1 << BUCKET_BITS) - 1), n[own], 1 << BUCKET_BITS)
+        log_p[:, i] = np.log((counts + smooth) / (counts.sum() + smooth * len(counts)))
+    return LanguageModel(names, log_p)
 
 
 def _expectation(r: np.ndarray, c: np.ndarray, starts: np.ndarray, of: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +182,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("proportions", T.ArrayType(T.DoubleType()))]
     schema = extended(docs, *new)
     names_out = schema.names
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES x 2^BUCKET_BITS
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MOST_LANGUAGES x 2^BUCKET_BITS
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_p = shipped.value.languages, shipped.value.log_p
-        for batch in stepped(batches, text, 2 * PIECE):
+        # a step's arrays have a column for each language
+        for batch in stepped(batches, text, 2 * PIECE * 4 // max(4, len(names))):
             ids, share = infer(*trigrams(batch.column(batch.schema.get_field_index(text)).to_pylist()), log_p)
             pred, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             langs: list[list[str]] = [[] for _ in pred]

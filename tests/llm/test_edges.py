@@ -64,6 +64,19 @@ def test_even_mixtures_are_kept(spark):
     assert sorted(r["doc_id"] for r in language_id.keep_known_language(docs, model).collect()) == [1, 2]
 
 
+def test_all_languages_are_learned(spark):
+    """Rare labels too, however many there are; too many are an error, never left out."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices([chr(0x4E00 + 40 * i + j) for j in range(40)], k=4)) for _ in range(20)) for i in range(70)]
+    rows = [(100 * i + j, texts[i], f"l{i:02}") for i in range(70) for j in range(2 if i < 64 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert language_id.identify(docs, model).where("lang_pred <> lang").count() == 0
+    with pytest.raises(ValueError):
+        language_id.train(spark.range(language_id.MOST_LANGUAGES + 1).selectExpr("id as doc_id", "'a text' as text", "string(id) as lang"))
+
+
 def brute_lines(texts, least):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
     lines = [(t or "").split("\n") for t in texts]
