@@ -173,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
-    """k (the id), t (a hash of the text), class_id and n_links for each row of `docs`."""
+    """k (the id), t (a hash of the text), class_id, n_links and root (the class by its nodes, null without a set) for each row of `docs`."""
     bands, rows = bands_and_rows(threshold, recall)
     exact = Fraction(str(threshold))
     signed = stored(_signed(docs, text, key, n, bands, rows), "signatures")
@@ -225,16 +225,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     placed = nodes.select("node", "f1", "f2", "copies", "low").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed, "classes")
     lows = placed.groupBy("root").agg(F.min("low").alias("class_id"))
-    placed = placed.join(lows, "root").select("f1", "f2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    placed = placed.join(lows, "root").select("f1", "f2", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("k", "t", "f1", "f2", "size").join(stored(placed, "class-of"), ["f1", "f2"], "left")
     of = F.when(F.col("class_id") == (1 << 63) - 1, F.lit(None)).otherwise(F.col("class_id"))
-    return out.select("k", "t", F.when(F.col("size") > 0, of).otherwise(F.col("k")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("k", "t", F.when(F.col("size") > 0, of).otherwise(F.col("k")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("size") > 0, F.col("root")).alias("root"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id is their class's; of rows that repeat an id and text, one stays."""
+    """One row of each class: that with the class's id, of several (ids repeated or all null) that with the smallest hash of the text.
+
+    Of rows that repeat an id and text, one stays.
+    """
     found = stored(near_duplicates(docs, text, key), "near-duplicates")
-    gone = found.where("class_id is not null and not (k <=> class_id)").select(F.col("k").alias("_k"), F.col("t").alias("_t")).distinct()
+    # rows with the class's id: one a class unless ids are repeated or null
+    best = found.where("root is not null and k <=> class_id").select("root", "k", "t").distinct()
+    several = best.groupBy("root").agg(F.min("t").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
+    others = best.join(several, "root").where("t <> least").select("k", "t")
+    gone = found.where("class_id is not null and not (k <=> class_id)").select("k", "t").union(others).toDF("_k", "_t").distinct()
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_t"))
     kept = docs.join(gone, same, "left_anti")
     repeated = stored(found.groupBy("k", "t").count().where("count > 1").select(F.col("k").alias("_k"), F.col("t").alias("_t")), "repeated")

@@ -288,6 +288,15 @@ def test_jaccard(docs, none):
     assert kept.columns == docs.columns and kept.where("text like 'one two%'").count() == 1
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Near copies with different texts whose ids are all null, or all one and the same."""
+    texts = [" ".join([*(f"{c}{i}" for i in range(60)), f"end{j}"]) for c in "nrm" for j in range(3)]
+    ids = [None] * 3 + [5] * 3 + [None, 9, 9]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    kept = sorted((r["text"][0], r["doc_id"]) for r in jaccard_join.one_of_each(df).collect())
+    assert kept == [("m", 9), ("n", None), ("r", 5)]
+
+
 def test_jaccard_against_brute_force_in_blocks(spark):
     base = [f"w{i}" for i in range(60)]
     texts = []
