@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowplan.functions.codecs import zero_of
-from sparrowplan.sources.tables import stored
+from sparrowplan.storage import stored
 
 DUMMY = "_dummy"
 #: Join hints by the algorithm that a plan names; without one, statistics decide.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +30,6 @@ def sql_leaf(spark: SparkSession, sf_dir: str, sql: str, limit: int | None = Non
     return df if limit is None else df.limit(limit)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the folder that driver and executors share (`spark.checkpoint.dir`, else one of our own) and read back.
-
-    What isn't the same when computed twice, such as positions, is thus computed once, and lost executors cost no more than a task.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparrowplan-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root}/sparrowplan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unioned_results(spark: SparkSession, folders: list[str], sql: str) -> DataFrame:
     """The rows that a query gives on each party's tables, together."""
     return reduce(DataFrame.union, [sql_leaf(spark, d, sql) for d in folders])
