@@ -7,7 +7,7 @@ Spaces become word marks, and one more is put in front of the text. Where no pie
 character, the text falls into independent words, each with all marks before it, so that each task keeps the counts of
 words it has seen (a cache of bounded size, which never changes a result). Control, unknown and byte pieces are no text.
 
-Defined results: null and empty texts have 0 tokens. Input columns stay; `n_tokens` replaces a column of that name.
+Defined results: null and empty texts have 0 tokens; with an empty vocabulary all text is counted as bytes. Input columns stay; `n_tokens` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from sparrowplan.llm.common import attach, extended, stepped, table
 
 MARK = "▁"
 WORD = re.compile("▁+[^▁]*")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
@@ -44,8 +44,10 @@ class Counter:
         for piece, score in dict(pieces).items():
             if piece:
                 self.automaton.add_word(piece, (len(piece), float(score)))
-        self.automaton.make_automaton()
-        self.unknown = min(s for _, s in pieces) - 10.0
+        self.empty = not len(self.automaton)
+        if not self.empty:
+            self.automaton.make_automaton()
+        self.unknown = min((s for _, s in pieces), default=0.0) - 10.0
         # Sums of whole numbers are exact, so that the parts of a text that no piece joins are independent of each other.
         exact = all(float(s).is_integer() for _, s in pieces)
         self.words = exact and not any(MARK in p.lstrip(MARK) for p, _ in pieces)
@@ -68,7 +70,7 @@ class Counter:
                 count[end] = count[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
 
         single: set[int] = set()
-        for last, (length, gain) in self.automaton.iter(word):
+        for last, (length, gain) in () if self.empty else self.automaton.iter(word):
             end = last + 1
             while at < end - 1:
                 at += 1
