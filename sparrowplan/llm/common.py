@@ -1,9 +1,7 @@
-"""Helpers that the corpus operators share: stored intermediates, batches and token hashes."""
+"""Helpers that the corpus operators share: joins with hot keys, batches and token hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,28 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparrowplan.storage import stored  # noqa: F401
+
 #: Text bytes that one vectorised step works on, so that its arrays stay a few tens of MB.
 STEP_BYTES = 1 << 20
 
+#: Keys that `join_counted` broadcasts, at most.
+HOT_KEYS = 1000
+
 #: The six white-space bytes `[\x20\x09-\x0D]`.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, else one of our own (tests only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="sparrowplan-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """`rows` joined with `known`, which has each key once; its column `count` has the key's rows, out of `total`. Both should be stored.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/sparrowplan/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Keys with more than 1 / HOT_KEYS of all rows are fewer than HOT_KEYS; these are broadcast, so that no hot key meets in one task. The others
+    are shuffled, and none of them has more rows than that share.
+    """
+    hot = F.col(count) > total // HOT_KEYS
+    heavy = F.broadcast(known.where(hot))
+    light = rows.join(F.broadcast(known.where(hot).select(*keys)), keys, "left_anti").join(known.where(~hot), keys)
+    return rows.join(heavy, keys).unionByName(light)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,11 +7,12 @@ target recall; nodes that agree on a band are candidates, and candidates are ver
 Candidates aren't written out as pairs. Each band value names a leader, its smallest node, and all nodes that share a leader form a group, so
 that any two candidates meet in a group; large groups are dealt out in blocks, each pair of blocks being one task's work, and what
 leaves a task is a spanning forest and counts. A pair that meets in several groups is counted in one of them. Classes are the
-connected components of the verified links, found by contracting stars over stored tables.
+connected components of the verified links, found by contracting stars over stored tables. Where a join's key may be hot (a band, a leader or a
+root that very many nodes share), keys with many rows are broadcast, so that their rows stay where they are.
 
 Defined results: documents without words have no set, link to nothing and are classes of their own. Repeated rows and documents with equal sets are
-copies: in one class, with links to each other. Null ids sort after all others. The class id is the smallest id in the
-class, and null where none is known. `n_links` counts the other documents at or above the threshold. Clashing columns don't matter: only the
+copies: in one class, with links to each other. Ids are read as whole numbers (text that is none raises an error). Null ids sort after all
+others. The class id is the smallest id in the class, and null where none is known. `n_links` counts the other documents at or above the threshold. Clashing columns don't matter: only the
 id and the text are read. Very long texts are whole sets. An empty table gives no rows.
 """
 
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowplan.llm.common import WORDS, byte_texts, document_tokens, mixed, stepped, stored, table
+from sparrowplan.llm.common import WORDS, byte_texts, document_tokens, join_counted, mixed, stepped, stored, table
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.999999
 MAX_HASHES = 128
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 #: Nodes of a block; a task verifies the pairs of two blocks.
 BLOCK = 160
 #: Members (some 100 bytes each) up to which they are broadcast to find their texts.
@@ -155,18 +158,19 @@ def verified(sets: list[np.ndarray], weight: np.ndarray, leaders: list[tuple[int
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it is connected to) for every node of the edges (u, v). Stars are contracted until nothing changes."""
 
-    def stored_state(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = stored(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    def stars(e: DataFrame) -> tuple[DataFrame, tuple]:
+        e = stored(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", narrow=True)
         return e, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now, state = stored_state(edges)
+    now, state = stars(edges)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large, _ = stored_state(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now, new = stored_state(small.select("v", "m").union(small.select("u", "m")).toDF("u", "v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        least = stored(least, "least", narrow=True)
+        large, (n, _) = stars(join_counted(both, least, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least", narrow=True)
+        small = join_counted(large, least, ["u"], "n", n)
+        now, new = stars(small.select("v", "m").union(small.select("u", "m")).toDF("u", "v"))
         if new == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         state = new
@@ -177,27 +181,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     bands, rows = bands_and_rows(threshold, recall)
     exact = Fraction(str(threshold))
     signed = stored(_signed(docs, text, key, n, bands, rows), "signatures")
-    known = F.coalesce("k", F.lit((1 << 63) - 1))
-    groups = signed.where("size > 0").groupBy("f1", "f2").agg(F.count("*").alias("copies"), F.min(known).alias("low"), F.first("bands").alias("bands"))
-    nodes = stored(groups.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    known = F.coalesce("k", F.lit(NO_ID))
+    groups = signed.where("size > 0").groupBy("f1", "f2").agg(F.count("*").alias("copies"), F.min(F.struct(known.alias("k"), "t")).alias("low"), F.first("bands").alias("bands"))
+    nodes = stored(groups.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "copies", F.col("low.k").alias("low"), F.col("low.t").alias("low_t"), "bands"), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
-    leads = exploded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    member = stored(exploded.join(leads, "band").select("node", "leader").distinct(), "leaders")
+    leads = stored(exploded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leads", narrow=True)
+    member = stored(join_counted(exploded, leads, ["band"], "n", bands * nodes.count()).select("node", "leader").distinct(), "leaders", narrow=True)
     # a leader that follows a smaller one hands its group over, so that one large class has few groups
-    above = member.groupBy("node").agg(F.min("leader").alias("over")).select(F.col("node").alias("leader"), "over")
-    member = stored(member.join(above, "leader").select("node", F.col("over").alias("leader")).distinct(), "groups")
-    sizes = member.groupBy("leader").agg(F.count("*").alias("m"))
-    mine = member.join(sizes, "leader").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leader", "m"))).alias("leads"))
-    members = stored(nodes.select("node", "f1", "f2", "low", "copies").join(mine, "node"), "members")
-    ids = members.select(F.col("low").alias("_low"), "node", F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "copies", "leads")
-    if ids.count() <= broadcast_members:
-        ids = F.broadcast(ids)
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_low"), F.col(text).alias("_text")).join(ids, "_low").drop("_low")
+    above = member.groupBy("node").agg(F.min("leader").alias("over")).withColumnRenamed("node", "leader")
+    above = stored(above.join(member.groupBy("leader").agg(F.count("*").alias("n")), "leader"), "above", narrow=True)
+    member = stored(join_counted(member, above, ["leader"], "n", member.count()).select("node", F.col("over").alias("leader")).distinct(), "groups", narrow=True)
+    sizes = stored(member.groupBy("leader").agg(F.count("*").alias("m")), "sizes", narrow=True)
+    mine = join_counted(member, sizes, ["leader"], "m", member.count()).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leader", "m"))).alias("leads"))
+    ids = stored(nodes.join(mine, "node").select(F.col("low").alias("_low"), F.col("low_t").alias("_t"), "node", F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "copies", "leads"), "members", narrow=True)
+    few = ids.count() <= broadcast_members
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_low"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(some) if few else some, ["_low", "_t"]).drop("_low", "_t")
+
+    # of copies, rows may repeat the id and text of the node's row; one of them is enough
+    source = texts_of(ids.where("copies = 1")).unionByName(texts_of(ids.where("copies > 1")).dropDuplicates(["node"]))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stepped(batches, "_text"):
             sets, starts = shingle_sets(byte_texts(batch, "_text"), n)
             f1, f2 = _fingerprints(sets, starts)
+            # two texts of one id may share their hash; the set tells them apart
             same = (f1 == batch.column(batch.schema.get_field_index("_f1")).to_numpy()) & (f2 == batch.column(batch.schema.get_field_index("_f2")).to_numpy())
             raw = pa.array([sets[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())
             out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("node", "copies", "leads")] + [raw], names=["node", "copies", "leads", "set"])
@@ -223,12 +233,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     links = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node")
     roots = components(found.select("u", "v"))
     placed = nodes.select("node", "f1", "f2", "copies", "low").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed, "classes")
-    lows = placed.groupBy("root").agg(F.min("low").alias("class_id"))
-    placed = placed.join(lows, "root").select("f1", "f2", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("k", "t", "f1", "f2", "size").join(stored(placed, "class-of"), ["f1", "f2"], "left")
-    of = F.when(F.col("class_id") == (1 << 63) - 1, F.lit(None)).otherwise(F.col("class_id"))
-    return out.select("k", "t", F.when(F.col("size") > 0, of).otherwise(F.col("k")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("size") > 0, F.col("root")).alias("root"))
+    placed = stored(placed, "classes", narrow=True)
+    lows = stored(placed.groupBy("root").agg(F.min("low").alias("class_id"), F.count("*").alias("n")), "lows", narrow=True)
+    placed = join_counted(placed, lows, ["root"], "n", nodes.count()).select("f1", "f2", "root", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    placed = stored(placed, "class-of", narrow=True)
+    own = signed.select("k", "t", "f1", "f2", "size")
+    of = F.when(F.col("class_id") == NO_ID, F.lit(None)).otherwise(F.col("class_id"))
+    in_class = join_counted(own.where("size > 0"), placed, ["f1", "f2"], "copies", signed.count()).select("k", "t", of.alias("class_id"), "n_links", "root")
+    return in_class.unionByName(own.where("size = 0").select("k", "t", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root")))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
