@@ -1,32 +1,35 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Documents with equal texts form an indivisible group. Items sorted by size, largest first, enter the bin with the
+Documents with equal texts form an indivisible group. Groups sorted by size, largest first, enter the bin with the
 tightest remaining capacity that still holds them, found in a balanced tree. With a fixed capacity this minimises the
 number of shards; with a fixed number of shards the smallest capacity that suffices is searched for, which makes the
-shards' sizes near equal.
+shards' sizes near equal. A group larger than an even share gets a shard to itself, and the others share out the rest evenly.
 
-What the driver packs is bounded: groups of at least a `grain`-th of a shard's capacity are items by themselves (there
-are `grain` x shards of them at most), smaller groups are pooled by their hash into `grain` x shards items. A group
-larger than an even share gets a shard to itself, and the others share out the rest evenly. Texts are never
-shuffled, only their hashes and sizes.
+Groups of one size are interchangeable, so the driver packs a histogram of sizes, many groups of a size at once; the outcome is that of packing the
+groups one by one. The histogram has few rows: d different sizes add up to d * d / 2 at least, so that 100 TB can't have more than 14 million,
+and real texts have far fewer. Each group then finds its bin by its size and its rank among the groups of that size. Texts are read
+once and never shuffled, only their hashes and sizes.
 
 Defined results: a null text has no bytes, checksum 0, and is a group apart from the empty text. Repeated rows and null
 ids are rows like others. Slots number each shard's rows from 0 without gaps, in the order of a hash of the row, then
-the row. An empty table gives no rows. Input columns stay; the operator's replace those of the same names.
+the row. An empty table gives no rows. Input columns stay (those of `keep`, if given); the operator's replace those of the same names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowplan.llm.common import stored, table
+from sparrowplan.llm.common import join_counted, stored, table
 
 SHARDS = 40
 OVERHEAD = 16
-GRAIN = 256
 #: Rows, about, that one task numbers.
 SLOT_ROWS = 4096
+#: Runs (some 50 bytes each) up to which they are broadcast.
+BROADCAST_RUNS = 100_000
 
 
 class CapacityTree:
@@ -98,90 +101,143 @@ class CapacityTree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item; None if more than `most` bins are needed. `sizes` must fall; an item over the capacity has a bin alone."""
+@dataclass(frozen=True)
+class Run:
+    """Groups of one size in their order: the first is number `begin` of that size, and `each` of them go to a bin, from `bin` on."""
+
+    size: int
+    begin: int
+    count: int
+    bin: int
+    each: int
+
+
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[Run] | None:
+    """The bins of the items of a histogram of (size, how many), sizes falling; None if more than `most` bins are needed.
+
+    As item by item: the tightest bin that holds an item stays the tightest for the next of that size, until it holds none any more.
+    An item over the capacity has a bin alone.
+    """
     tree, bins, out = CapacityTree(), 0, []
-    for size in sizes:
-        found = tree.tightest(size)
-        if found:
-            tree.remove(found)
-            room, at = found
-        else:
-            if bins == most:
+    least = sizes[-1][0] if sizes else 0  # bins with less room are full
+
+    def put(room: int, at: int) -> None:
+        if room >= least:
+            tree.add((room, at))
+
+    for size, n in sizes:
+        begin = 0
+        while begin < n:
+            found = tree.tightest(size)
+            if found:
+                tree.remove(found)
+                room, at = found
+                k = min(n - begin, room // size)
+                put(room - k * size, at)
+                out.append(Run(size, begin, k, at, k))
+                begin += k
+                continue
+            each = max(1, capacity // size)
+            new = -(-(n - begin) // each)
+            if most is not None and bins + new > most:
                 return None
-            room, at, bins = max(capacity, size), bins, bins + 1
-        tree.add((room - size, at))
-        out.append(at)
+            out.append(Run(size, begin, n - begin, bins, each))
+            for at in range(bins, bins + new):
+                k = min(each, n - begin)
+                put(max(capacity, size) - k * size, at)
+                begin += k
+            bins += new
     return out
 
 
-def even_bins(sizes: list[int], bins: int) -> list[int]:
-    """A bin for each item (sizes falling): the smallest capacity for which best fit decreasing needs no more than `bins` bins.
+def even_bins(sizes: list[tuple[int, int]], bins: int) -> list[Run]:
+    """Bins of the items of a histogram: the smallest capacity, by galloping and halving, for which best fit decreasing needs no more than `bins`.
 
     Items above an even share of what is left get bins of their own first.
     """
-    out, rest = [], sum(sizes)
-    while len(out) < len(sizes) and len(out) < bins - 1 and sizes[len(out)] * (bins - len(out)) >= rest:
-        rest -= sizes[len(out)]
-        out.append(len(out))
-    alone = len(out)
-    left, free = sizes[alone:], bins - alone
+    out: list[Run] = []
+    rest = sum(size * n for size, n in sizes)
+    left = list(sizes)
+    alone = 0
+    while left and alone < bins - 1 and left[0][0] * (bins - alone) >= rest:
+        size, n = left[0]
+        before = sum(r.count for r in out if r.size == size)
+        out.append(Run(size, before, 1, alone, 1))
+        alone, rest = alone + 1, rest - size
+        left = ([(size, n - 1)] if n > 1 else []) + left[1:]
     if not left:
         return out
-    low, high = max(left[0], -(-rest // free)), max(left[0], -(-rest // free)) + left[0]
-    fitting = best_fit_decreasing(left, high, free)
-    while fitting is None:
-        low, high = high + 1, high * 2
-        fitting = best_fit_decreasing(left, high, free)
-    while low < high:
-        mid = (low + high) // 2
+    taken = {r.size: r.begin + 1 for r in out}
+    free = bins - alone
+    below, step = max(left[0][0], -(-rest // free)) - 1, 1
+    while (fitting := best_fit_decreasing(left, below + step, free)) is None:
+        below, step = below + step, step * 2
+    high = below + step
+    while high - below > 1:
+        mid = (below + high) // 2
         got = best_fit_decreasing(left, mid, free)
         if got is None:
-            low = mid + 1
+            below = mid
         else:
             high, fitting = mid, got
-    return out + [alone + b for b in fitting]
+    return out + [Run(r.size, r.begin + taken.get(r.size, 0), r.count, r.bin + alone, r.each) for r in fitting]
+
 
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int | None = SHARDS, capacity: int | None = None, keep: list[str] | None = None, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """`docs` with size, text_crc32, shard and slot. Give `shards` for near-equal sizes, or `capacity` for the fewest shards.
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int | None = SHARDS, capacity: int | None = None, grain: int = GRAIN) -> DataFrame:
-    """`docs` with size, text_crc32, shard and slot. Give `shards` for near-equal sizes, or `capacity` for the fewest shards."""
+    `keep`: the input columns that the result has (all by default); they are stored once, with the rows' sizes and hashes.
+    """
     spark = docs.sparkSession
     own = {"size", "text_crc32", "shard", "slot"}
-    given = docs.select(*[c for c in docs.columns if c.lower() not in own])
-    raw = F.col(text).cast("binary")
-    rows = given.withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD, "text_crc32": F.coalesce(F.crc32(raw), F.lit(0)).cast("long"), "_g1": F.xxhash64(F.lit(1), text), "_g2": F.xxhash64(F.lit(2), text), "_none": F.col(text).isNull()})
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
+    new = {
+        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD,
+        "text_crc32": F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long"),
+        "_g1": F.xxhash64(F.lit(1), text),
+        "_g2": F.xxhash64(F.lit(2), text),
+        "_none": F.col(text).isNull(),
+        "_row": F.monotonically_increasing_id(),
+        "_key": F.col(key),
+    }
+    rows = stored(docs.select(*kept, *[c.alias(n) for n, c in new.items()]), "shard-rows")
     group = ["_g1", "_g2", "_none"]
-    groups = stored(rows.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    wanted = shards if shards else max(1, -(-total // capacity))
-    units = grain * wanted
-    floor = max(1, -(-total // units))
-    big = [(*r[:3], r[3]) for r in groups.where(F.col("bytes") >= floor).collect()]  # `units` of them at most, as each holds that share
-    small = {r[0]: r[1] for r in groups.where(F.col("bytes") < floor).groupBy(F.pmod("_g1", F.lit(units)).alias("u")).agg(F.sum("bytes")).collect()}
-    items = sorted([(b[3], 0, b[0], b[1], b[2]) for b in big] + [(v, 1, u, 0, False) for u, v in small.items()], key=lambda x: (-x[0], x[1:]))
-    sizes = [x[0] for x in items]
-    bins = even_bins(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    assert bins is not None
-    # both tables have `units` rows at most
-    big_to = spark.createDataFrame([(x[2], x[3], x[4], b) for x, b in zip(items, bins) if x[1] == 0], "_g1 long, _g2 long, _none boolean, _b int")
-    small_to = spark.createDataFrame([(x[2], b) for x, b in zip(items, bins) if x[1] == 1], "_u long, _s int")
-    placed = rows.join(F.broadcast(big_to), group, "left").withColumn("_u", F.pmod("_g1", F.lit(units))).join(F.broadcast(small_to), "_u", "left")
-    placed = placed.withColumn("shard", F.coalesce("_b", "_s"))
-    return numbered(placed.drop("_b", "_s", "_u", *group), key, max(64, count // (wanted * SLOT_ROWS)))
-
-
-def numbered(placed: DataFrame, key: str, parts: int) -> DataFrame:
-    """Adds slot: the row's number in its shard. Shards are numbered in `parts` parts, each a task's work, shifted by the parts before."""
-    part: Column = F.pmod(F.xxhash64(F.lit(3), key, "size", "text_crc32"), F.lit(parts))
-    rows = placed.withColumn("_p", part)
-    before = Window.partitionBy("shard").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = rows.groupBy("shard", "_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy("shard", "_p").orderBy(F.col(key), "text_crc32", "size"))
-    return rows.withColumn("_i", inside).join(shift, ["shard", "_p"]).withColumn("slot", (F.col("_i") - 1 + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
+    groups = stored(rows.groupBy(*group).agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n")), "shard-groups", narrow=True)
+    # a row for each different size; see above
+    sizes = [(r[0], r[1]) for r in groups.groupBy("_bytes").agg(F.count("*").alias("n")).orderBy(F.desc("_bytes")).toLocalIterator()]
+    runs = even_bins(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
+    assert runs is not None
+    count = rows.count()
+    ranked = stored(numbered(groups, "_bytes", group, "_rank", max(64, count // SLOT_ROWS)), "shard-ranks", narrow=True)
+    parts = max(64, count // (SLOT_ROWS * (1 + max((r.bin for r in runs), default=0))))
+    of_size = spark.createDataFrame([(r.size, r.begin, r.count, r.bin, r.each) for r in runs], "_bytes long, begin long, n long, bin int, per long")
+    of_size = stored(of_size.groupBy("_bytes").agg(F.sort_array(F.collect_list(F.struct("begin", "n", "bin", "per"))).alias("_runs")), "shard-runs", narrow=True)
+    if len(runs) <= broadcast_runs:
+        placed = ranked.join(F.broadcast(of_size), "_bytes")
+    else:
+        share = groups.groupBy("_bytes").agg(F.count("*").alias("_of"))
+        placed = join_counted(ranked, stored(of_size.join(share, "_bytes"), "shard-runs", narrow=True), ["_bytes"], "_of", ranked.count())
+    mine = F.get(F.filter("_runs", lambda r: (r["begin"] <= F.col("_rank")) & (F.col("_rank") < r["begin"] + r["n"])), F.lit(0))
+    placed = placed.withColumn("_run", mine).withColumn("shard", (F.col("_run.bin") + F.floor((F.col("_rank") - F.col("_run.begin")) / F.col("_run.per"))).cast("int"))
+    placed = stored(placed.select(*group, "shard", "_n"), "shard-of", narrow=True)
+    out = numbered(join_counted(rows, placed, group, "_n", count), "shard", ["_key", "size", "text_crc32", "_row"], "slot", parts)
+    return out.select(*kept, "size", "text_crc32", "shard", "slot")
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], name: str, parts: int) -> DataFrame:
+    """Adds the row's number among those of equal `by`, from 0. `order` tells all rows apart.
+
+    Rows are numbered in parts by their hash, each a task's work, shifted by the parts before.
+    """
+    rows = rows.withColumn("_p", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(parts)))
+    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy(by, "_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order))
+    return rows.withColumn("_i", inside).join(shift, [by, "_p"]).withColumn(name, (F.col("_i") - 1 + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
