@@ -5,7 +5,8 @@ hash the distinct documents are counted; lines whose key occurs in `least` docum
 and the rest are joined again by position.
 
 The commonest keys, at most `broadcast_keys` of them (16 bytes each), are sent to all tasks, so that no hot line meets
-in one task; rarer ones, if there are any left, come by a shuffled join on the hash. Both give the same result.
+in one task; rarer ones, if there are any left, come by a shuffled join on the hash. Both give the same result. In that case what was kept so far is
+stored, and rows whose text very many rows share get their positions by a broadcast.
 
 Defined results: a null or empty text is one empty line. Empty keys are never dropped. Every row counts as a document of
 its own, repeated rows and null ids included. Input columns stay; `kept_text`, `n_lines` and `n_dropped` replace input
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowplan.llm.common import SPACES, attach, byte_texts, extended, stepped, stored, table
+from sparrowplan.llm.common import SPACES, attach, byte_texts, extended, join_counted, stepped, stored, table
 
 LEAST_DOCUMENTS = 10
 #: Bound of what is broadcast: 16 MB.
@@ -48,24 +49,43 @@ def key_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(explode, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"))
 
 
+class Keys:
+    """A set of 16-byte hashes, in the memory of their bytes."""
+
+    def __init__(self, raw: bytes) -> None:
+        """`raw`: rows of two numbers, sorted."""
+        both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+        self.first, self.second = both[:, 0], both[:, 1]
+        # rows that share their first number: one, but for chance
+        self.most = int(np.unique(self.first, return_counts=True)[1].max()) if len(both) else 0
+
+    def found(self, hashes: list[bytes]) -> list[bool]:
+        """Whether each hash is in the set; b'' never is."""
+        if not self.most:
+            return [False] * len(hashes)
+        asked = np.frombuffer(b"".join(h or bytes(16) for h in hashes), "<i8").reshape(-1, 2)
+        at = np.searchsorted(self.first, asked[:, 0])
+        hit = np.zeros(len(asked), bool)
+        for k in range(self.most):
+            row = np.minimum(at + k, len(self.first) - 1)
+            hit |= (self.first[row] == asked[:, 0]) & (self.second[row] == asked[:, 1])
+        return [x and bool(h) for x, h in zip(hit.tolist(), hashes)]
+
+
 def _drop(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
     """Drop the lines with the given hashes (bytes of 16, sorted); adds kept_text, n_lines, n_dropped."""
     schema = extended(docs, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()))
     names_out = schema.names
     shipped = docs.sparkSession.sparkContext.broadcast(common.tobytes())  # at most BROADCAST_KEYS hashes
 
-    state: dict[str, frozenset[bytes]] = {}
-
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "keys" not in state:
-            raw = shipped.value
-            state["keys"] = frozenset(raw[i : i + 16] for i in range(0, len(raw), 16))
-        keys = state["keys"]
+        keys = Keys(shipped.value)
         for batch in stepped(batches, text, 4 << 20):
             kept, total, dropped = [], [], []
             for t in byte_texts(batch, text):
                 lines, hashes = line_keys(t)
-                rest = [line for line, h in zip(lines, hashes) if h not in keys]
+                gone = keys.found(hashes)
+                rest = [line for line, out in zip(lines, gone) if not out]
                 kept.append(b"\n".join(rest))
                 total.append(len(lines))
                 dropped.append(len(lines) - len(rest))
@@ -79,7 +99,7 @@ def _drop_rest(docs: DataFrame, text: str, rest: DataFrame) -> DataFrame:
 
     Rows meet their dropped positions by two hashes of what was kept so far: equal texts lose the same lines.
     """
-    kept = docs.withColumns({"_t1": F.xxhash64(F.lit(1), "kept_text"), "_t2": F.xxhash64(F.lit(2), "kept_text")})
+    kept = stored(docs.withColumns({"_t1": F.xxhash64(F.lit(1), "kept_text"), "_t2": F.xxhash64(F.lit(2), "kept_text")}), "kept-lines")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stepped(batches, "kept_text", 4 << 20):
@@ -96,7 +116,8 @@ def _drop_rest(docs: DataFrame, text: str, rest: DataFrame) -> DataFrame:
 
     lines = kept.select("_t1", "_t2", "kept_text").dropDuplicates(["_t1", "_t2"]).mapInArrow(explode, "_t1 long, _t2 long, pos long, h1 long, h2 long")
     found = lines.join(rest.select("h1", "h2"), ["h1", "h2"]).groupBy("_t1", "_t2").agg(F.collect_set("pos").alias("_gone"))
-    out = kept.join(found, ["_t1", "_t2"], "left")
+    texts = stored(kept.groupBy("_t1", "_t2").agg(F.count("*").alias("_n")).join(found, ["_t1", "_t2"], "left"), "further-lines")
+    out = join_counted(kept, texts, ["_t1", "_t2"], "_n", kept.count())
     lines_of = F.split("kept_text", "\n")
     gone = F.coalesce("_gone", F.array().cast("array<bigint>"))
     again = F.when(F.size(gone) == 0, F.col("kept_text")).otherwise(F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n"))
@@ -119,8 +140,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = LEAST_DOCUMENT
             room, floor = room - row["count"], row["n"]
         top = common.where(F.col("n") >= floor) if floor is not None else common.limit(0)
         rest = common.where(F.col("n") < floor) if floor is not None else common
-    keys = top.select("h1", "h2").toPandas()
-    out = _drop(docs, text, np.ascontiguousarray(keys.to_numpy("<i8").reshape(-1, 2)))
+    keys = top.select("h1", "h2").toPandas().to_numpy("<i8").reshape(-1, 2)
+    out = _drop(docs, text, np.ascontiguousarray(keys[np.lexsort((keys[:, 1], keys[:, 0]))]))
     return out if rest is None else _drop_rest(out, text, rest)
 
 
