@@ -10,9 +10,9 @@ a query, and a last step ranks what the tasks kept.
 
 Defined results: vectors that are null or empty, or hold a null or a non-finite component, and rows without an id take
 no part. A query's own rows are those with its id. Repeated rows are candidates each; a query id with several different
-vectors asks with the smallest of them. Only vectors of equal length are compared. A component beyond
-+-2^24 after quantisation raises an error, as scores could leave 64 bits. Clashing column names don't matter: only the
-id and the vector are read.
+vectors that take part asks with the smallest of them. Only vectors of equal length are compared. Ids are read as whole numbers (text that is none
+raises an error). Only what 64 bits can't hold is refused with an error: a component beyond +-2^62 after quantisation, or a score to be returned
+that is no long. Clashing column names don't matter: only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from sparrowplan.llm.common import stored, table
 SCALE = 256
 BLOCK_ROWS = 1 << 15
 QUERY_BLOCK = 20_000
+LARGEST = 1 << 62
 
 
 def quantised(ids: pa.Array, vectors: pa.Array, scale: int = SCALE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -43,8 +44,8 @@ def quantised(ids: pa.Array, vectors: pa.Array, scale: int = SCALE) -> dict[int,
         x = wide.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
         good = np.isfinite(x).all(1)
         x = np.floor(scale * x[good])
-        if len(x) and np.abs(x).max() > 1 << 24:
-            raise ValueError("a quantised component is beyond +-2^24")
+        if len(x) and np.abs(x).max() > LARGEST:
+            raise ValueError("a quantised component is beyond +-2^62")
         out[n] = (key[at[good]], x.astype(np.int64))
     return out
 
@@ -57,13 +58,13 @@ class SlicedBlock:
         self.ids, self.x = ids[order], x[order]
         n, dims = x.shape
         low = self.x.min(0)
-        u = self.x - low
+        u = self.x.astype(np.uint64) - low.astype(np.uint64)  # differences of 63 bits at most
         self.bits = [int(m).bit_length() for m in u.max(0)]
         words = -(-n // 64)
         slices, self.dim, self.bit = [], [], []
         for d in range(dims):
             for j in range(self.bits[d]):
-                packed = np.packbits(((u[:, d] >> j) & 1).astype(np.uint8), bitorder="little")
+                packed = np.packbits(((u[:, d] >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), bitorder="little")
                 slices.append(np.pad(packed, (0, words * 8 - len(packed))).view(np.uint64))
                 self.dim.append(d)
                 self.bit.append(j)
@@ -124,7 +125,18 @@ class SlicedBlock:
                     break
         got = _positions(sure, k)
         at = np.concatenate([got, _positions(tied, k - len(got))])
-        return self.ids[at], self.x[at] @ q
+        return self.ids[at], _products(self.x[at], q)
+
+
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products."""
+    most = len(q) * int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0))
+    if most < 1 << 63:
+        return x @ q
+    wide = x.astype(object) @ q.astype(object)
+    if any(not -(1 << 63) <= s < 1 << 63 for s in wide):
+        raise OverflowError("a score is beyond 64 bits")
+    return wide.astype(np.int64)
 
 
 def _positions(bitmap: np.ndarray, most: int) -> np.ndarray:
@@ -149,7 +161,7 @@ def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tup
 def search(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of `rows` for each row of `queries`."""
     spark = rows.sparkSession
-    asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null").groupBy("q").agg(F.min("v").alias("v"))
+    asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy("q").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // query_block))
     results = []
     for b in range(blocks):
@@ -205,8 +217,9 @@ SQL = {
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, min(x) AS x FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
-      FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
+      FROM a q, v c WHERE c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
