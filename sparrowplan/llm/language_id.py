@@ -8,7 +8,8 @@ bounded, deterministic sample of labelled documents.
 Defined results: null texts and texts without a letter are `und` with score 0 and no languages. Rows without a
 label teach nothing. With no labelled text at all every document is `und`. Ties go to the language that sorts first.
 Repeated rows are judged alike, as a prediction depends on the text alone. Input columns stay; `lang_pred`, `score`,
-`languages` and `proportions` replace input columns of these names. Very long texts are counted piece by piece.
+`languages` and `proportions` replace input columns of these names. Very long texts are counted piece by piece, no word
+being divided. A label column of any type is read as text; more than MOST_LANGUAGES different labels are an error, none is left out.
 """
 
 from __future__ import annotations
@@ -55,6 +56,17 @@ def _folds() -> np.ndarray:
     return out
 
 
+def cut(text: str, limit: int = PIECE) -> Iterator[str]:
+    """Pieces of a text, of about `limit` characters, that end before a character that is no letter: no word is divided."""
+    a = 0
+    while a < len(text):
+        b = min(a + limit, len(text))
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        yield text[a:b]
+        a = b
+
+
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document index, bucket and count of the trigrams of padded words; sorted by document, then bucket."""
     keys, counts = [], []
@@ -78,9 +90,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         whole, docs, size = [], [], 0
 
     for i, text in enumerate(texts):
-        for a in range(0, len(text or ""), PIECE):
-            # only a word that a cut of a very long text divides is counted as two
-            piece = text[a : a + PIECE]
+        for piece in cut(text or ""):
             whole.append(piece + " ")
             docs.append(i)
             size += len(piece)
