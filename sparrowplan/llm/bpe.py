@@ -7,8 +7,8 @@ again and grown until the outermost tokens on both sides agree with what the hal
 neighbouring pairs are all valid is the encoding of the whole, so the join is exact.
 
 The result equals that of the tokenizers library on the same file. The fast path encodes with the same vocabulary as
-ranks; a text with characters whose class may differ between Unicode versions goes to the tokenizers library
-itself, whole. Special tokens of the file are found in the text as the library finds them.
+ranks; only spans around characters whose class may differ between Unicode versions, cut out at places where the
+pre-tokenizer always begins a piece, go to the tokenizers library itself. Special tokens of the file are found in the text as the library finds them.
 
 Defined results: null and empty texts have no tokens and decode to the empty text. Input columns stay; `ids` and `decoded`
 replace input columns of these names.
@@ -71,6 +71,39 @@ def _unsettled() -> re.Pattern:
     return re.compile(f"[^{''.join(ranges)}]")
 
 
+@cache
+def _settled_kind(ch: str) -> str:
+    """The kind of a character, or nothing where it may differ between Unicode versions."""
+    return "" if _unsettled().match(ch) else _kind(ch)
+
+
+def _begins(text: str, i: int) -> bool:
+    """Whether the pre-tokenizer begins a piece at this place, whatever the characters further off."""
+    before, after = _settled_kind(text[i - 1]), _settled_kind(text[i])
+    return before != "S" and before != after and before != "" != after and text[i - 1] != "'"
+
+
+def unsettled_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that hold all characters of unsettled kind; each begins and ends where a piece begins."""
+    a = b = 0
+    for m in _unsettled().finditer(text):
+        if m.start() < b:
+            continue
+        low, high = m.start(), m.end()
+        while low > b and not _begins(text, low):
+            low -= 1
+        while high < len(text) and not _begins(text, high):
+            high += 1
+        if low == b and b > a:  # goes on from the last span
+            b = high
+            continue
+        if b > a:
+            yield a, b
+        a, b = low, high
+    if b > a:
+        yield a, b
+
+
 class ByteBpe:
     """Encodes and decodes as the tokenizers library does with the given tokenizer file."""
 
@@ -97,8 +130,14 @@ class ByteBpe:
         self.flat = np.frombuffer(b"".join(names.get(i, b"") for i in range(max(names) + 1)), np.uint8)
 
     def encode(self, text: str) -> np.ndarray:
-        if _unsettled().search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        out, at = [], 0
+        for a, b in unsettled_spans(text):
+            out += [self._settled(text[at:a]), np.array(self.library.encode(text[a:b], add_special_tokens=False).ids, np.uint32)]
+            at = b
+        rest = self._settled(text[at:])
+        return np.concatenate([*out, rest]) if out else rest
+
+    def _settled(self, text: str) -> np.ndarray:
         if self.split is None or not self.split.search(text):
             return self._section(text)
         out, at = [], 0
