@@ -130,21 +130,22 @@ class ByteBpe:
         self.flat = np.frombuffer(b"".join(names.get(i, b"") for i in range(max(names) + 1)), np.uint8)
 
     def encode(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        for a, b in unsettled_spans(text):
-            out += [self._settled(text[at:a]), np.array(self.library.encode(text[a:b], add_special_tokens=False).ids, np.uint32)]
-            at = b
-        rest = self._settled(text[at:])
-        return np.concatenate([*out, rest]) if out else rest
-
-    def _settled(self, text: str) -> np.ndarray:
         if self.split is None or not self.split.search(text):
-            return self._section(text)
+            return self._plain(text)
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += [self._section(text[at : m.start()]), np.array([self.special[m[0]]], np.uint32)]
+            out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], np.uint32)]
             at = m.end()
-        return np.concatenate([*out, self._section(text[at:])])
+        return np.concatenate([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> np.ndarray:
+        """The tokens of a text without special ones."""
+        out, at = [], 0
+        for a, b in unsettled_spans(text):
+            out += [self._section(text[at:a]), np.array(self.library.encode(text[a:b], add_special_tokens=False).ids, np.uint32)]
+            at = b
+        rest = self._section(text[at:])
+        return np.concatenate([*out, rest]) if out else rest
 
     def decode(self, ids: np.ndarray) -> str:
         """The bytes of all tokens, special ones included; what isn't UTF-8 becomes the replacement character."""
