@@ -34,8 +34,10 @@ def from_fixed_point(value: Column, scale: int = SCALE) -> Column:
 
 
 def digits(value: Column, base: int, count: int) -> Column:
-    """Digits to the base, least significant first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (F.floor(value / F.pow(F.lit(float(base)), i)) % base).cast("int"))
+    """Digits to the base, least significant first, of a whole number; negative numbers have none and are an error."""
+    whole = F.when(value < 0, F.raise_error(F.lit("a negative number has no digits")).cast("long")).otherwise(value.cast("long"))
+    powers = [base**i for i in range(count)]
+    return F.array(*[(F.call_function("div", whole, F.lit(p).cast("long")) % base).cast("int") if p < 1 << 63 else F.lit(0) for p in powers])
 
 
 def undigits(value: Column, base: int) -> Column:

@@ -162,7 +162,7 @@ def sort_limit(df: DataFrame, order: list[tuple[str, str]], limit: int | None =
     if unknown:
         raise ValueError(f"unknown direction {unknown}")
     df = reveal(df) if limit is not None else df
-    out = df.orderBy(*[F.col(c).asc() if d == "ASCENDING" else F.col(c).desc() for c, d in order])
+    out = df.orderBy(*[F.col(c).asc() if d == "ASCENDING" else F.col(c).desc() for c, d in order]) if order else df
     return out if limit is None else out.limit(limit)
 
 
@@ -174,6 +174,16 @@ def shrinkwrap(df: DataFrame, bound: int) -> DataFrame:
     return out
 
 
+def resize(df: DataFrame, rows: int) -> DataFrame:
+    """Padded with dummies to so many rows, which hide how many are real; more real rows than that are an error."""
+    real = reveal(df)
+    n = real.limit(rows + 1).count()
+    if n > rows:
+        raise ValueError(f"more than {rows} rows")
+    zeros = df.sparkSession.range(rows - n).select(*[zero_of(t).alias(c) for c, t in real.dtypes], F.lit(True).alias(DUMMY))
+    return oblivious(real).union(zeros)
+
+
 def union_bag(*tables: DataFrame) -> DataFrame:
     first = [t for _, t in tables[0].dtypes]
     if any([t for _, t in x.dtypes] != first for x in tables):

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowplan.functions.dictionary import Dictionary
 from sparrowplan.functions.expressions import column_of, equi_keys
 from sparrowplan.operators import relational as R
 from sparrowplan.operators.private_filter import condition
@@ -25,6 +26,22 @@ class Node:
 
 
 KINDS = {"LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan", "FheFilter", "FheAggregate", "FheProject", "SecureContextSwitch", "LogicalFilter", "LogicalProject", "LogicalJoin", "LogicalAggregate", "LogicalSort", "LogicalUnion", "MultipleUnion", "ShrinkWrap"}
+#: What each operator may say; anything else is refused. Ports, hosts, and notes about types and names change no answer.
+_SCAN = {"sql", "table", "columns", "limit", "input-limit", "collation", "party", "groupByOrdinals", "operator-algorithm", "merge-sql", "type", "tuples", "outputFields", "database"}
+_AGGREGATE = {"group", "groupBy", "aggs", "aggregates", "cardBound", "cardinality-bound", "operator-algorithm", "effective-collation", "checkSort", "collation"}
+KEYS = {
+    **dict.fromkeys(("LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan"), _SCAN),
+    **dict.fromkeys(("LogicalAggregate", "FheAggregate"), _AGGREGATE),
+    **dict.fromkeys(("LogicalProject", "FheProject"), {"fields", "exprs", "columns", "ordinals", "collation"}),
+    "MultipleUnion": {"sql1", "sql2", "filter", "fields", "collation", "party"},
+    "FheFilter": {"predicate", "predicates", "orPredicateGroups", "collation"},
+    "LogicalFilter": {"condition", "collation"},
+    "LogicalJoin": {"condition", "joinType", "foreign-key", "foreignKey", "operator-algorithm", "fields", "dummy-handling", "collation"},
+    "LogicalSort": {"collation", "fetch"},
+    "LogicalUnion": {"all", "collation"},
+    "ShrinkWrap": {"output-cardinality", "collation"},
+    "SecureContextSwitch": {"mpc_port", "charlie_host", "decryption_in_mpc", "mpc_in_circuit_port", "sort_limit", "collation"},
+}
 LEAVES = {"LogicalValues", "JdbcTableScan", "VaultDBTableScan", "StoredTableScan", "FheTableScan", "MultipleUnion"}
 #: Operators that leave the order of their input's rows as it is.
 KEEP_ORDER = {"LogicalFilter", "FheFilter", "SecureContextSwitch"}
@@ -44,6 +61,8 @@ def parse(text: str | dict) -> list[Node]:
             inputs = () if r["relOp"] in LEAVES else (nodes[-1].id,)
         if missing := set(inputs) - {n.id for n in nodes}:
             raise ValueError(f"unknown inputs {missing}")
+        if unknown := set(r) - KEYS[r["relOp"]] - {"id", "relOp", "inputs"}:
+            raise ValueError(f"unknown keys of {r['relOp']}: {sorted(unknown)}")
         nodes.append(Node(str(r["id"]), r["relOp"], inputs, {k: v for k, v in r.items() if k not in ("id", "relOp", "inputs")}))
     return nodes
 
@@ -100,8 +119,8 @@ def bounds(nodes: list[Node], leaf_rows: dict[str, int]) -> dict[str, int]:
                 most = rows[int(foreign)]
             limit = None
         elif n.kind in ("LogicalAggregate", "FheAggregate"):
-            most = rows[0] if o.get("group") else 1
-            limit = o.get("cardinality-bound") or None
+            most = rows[0] if o.get("group") or o.get("groupBy") else 1
+            limit = o.get("cardinality-bound") or o.get("cardBound") or None
         elif n.kind == "LogicalUnion":
             most, limit = sum(rows), None
         else:
@@ -124,9 +143,12 @@ def explain(nodes: list[Node], leaf_rows: dict[str, int] | None = None) -> str:
     return "\n".join(show(nodes[-1], 0))
 
 
-def run(spark: SparkSession, sf_dir: str, plan: str | dict, constants: dict | None = None, oblivious: bool = False, check: bool = False) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, plan: str | dict, constants: dict | None = None, oblivious: bool = False, check: bool = False, dictionary: Dictionary | None = None, parties: dict[int, str] | None = None) -> DataFrame:
     """The answer of a plan. `check` refuses repeated keys on the primary-key side of joins that name a foreign key.
 
+    `dictionary`: filters of the Fhe kind compare codes of the columns it knows. `parties`: each party's folder of tables; a leaf that names a party
+    reads its tables, any other leaf those of all of them, together.
+
     Positional operators count rows that filters have marked, so plans with one always run in oblivious mode.
     """
     done: dict[str, DataFrame] = {}
@@ -137,7 +159,7 @@ def run(spark: SparkSession, sf_dir: str, plan: str | dict, constants: dict | No
         if n.options.get("operator-algorithm") == "merge-join":
             done[n.id] = _merge_join(*[done[i] for i in n.inputs], *[orders.get(i) for i in n.inputs], n.options)
         else:
-            done[n.id] = _operator(spark, sf_dir, n, [done[i] for i in n.inputs], constants or {}, oblivious, check)
+            done[n.id] = _operator(spark, _folders(sf_dir, n, parties), n, [done[i] for i in n.inputs], constants or {}, oblivious, check, dictionary)
         if n.options.get("collation"):
             orders[n.id] = _collation(done[n.id], n.options)
         elif n.kind in KEEP_ORDER and n.inputs[0] in orders:
@@ -145,11 +167,23 @@ def run(spark: SparkSession, sf_dir: str, plan: str | dict, constants: dict | No
     return R.reveal(done[nodes[-1].id])
 
 
+def _folders(sf_dir: str, n: Node, parties: dict[int, str] | None) -> list[str]:
+    if not parties:
+        return [sf_dir]
+    return [parties[int(n.options["party"])]] if "party" in n.options else [parties[p] for p in sorted(parties)]
+
+
 def _collation(df: DataFrame, o: dict) -> list[tuple[str, str]]:
     visible = [c for c in df.columns if c != R.DUMMY]
     return [(visible[c["field"]] if isinstance(c["field"], int) else c["field"], c["direction"]) for c in o.get("collation", [])]
 
 
+def _columns(df: DataFrame, columns: list[str | int] | None, limit: int | None) -> DataFrame:
+    """Columns by name or place, in their order."""
+    df = df if columns is None else df.select(*[df.columns[c] if isinstance(c, int) else c for c in columns])
+    return df if limit is None else df.limit(limit)
+
+
 def _leaf(spark: SparkSession, sf_dir: str, n: Node, oblivious: bool) -> DataFrame:
     """Stored tables or SQL. A column `dummy_tag` of the SQL becomes the mark; true means a dummy, but a valid row in scans of the Fhe kind."""
     o = n.options
@@ -168,7 +202,7 @@ def _leaf(spark: SparkSession, sf_dir: str, n: Node, oblivious: bool) -> DataFra
         out = left.join(right, (left["_of"] == right["_of"]) & (left["l0"] == right["r0"])).drop("_of")
         names = [c for x in sides for c in x.columns[:-1]]
         return tagged(out.toDF(*(o.get("fields") or [c if names.count(c) == 1 else f"{c}_{i}" for i, c in enumerate(names)])))
-    df = tables.sql_leaf(spark, sf_dir, o["sql"], limit) if "sql" in o else tables.table(spark, sf_dir, o["table"], o.get("columns"), limit)
+    df = tables.sql_leaf(spark, sf_dir, o["sql"], limit) if "sql" in o else _columns(tables.table(spark, sf_dir, o["table"]), o.get("columns"), limit)
     if o.get("operator-algorithm") != "merge-input":
         return tagged(df)
     a, b = tagged(df), tagged(tables.sql_leaf(spark, sf_dir, o["merge-sql"], limit))
@@ -178,32 +212,47 @@ def _leaf(spark: SparkSession, sf_dir: str, n: Node, oblivious: bool) -> DataFra
     return R.merge_by_place(a, b, [(c, d == "ASCENDING") for c, d in order])
 
 
-def _operator(spark: SparkSession, sf_dir: str, n: Node, inputs: list[DataFrame], constants: dict, oblivious: bool, check: bool = False) -> DataFrame:
+def _operator(spark: SparkSession, folders: list[str], n: Node, inputs: list[DataFrame], constants: dict, oblivious: bool, check: bool = False, dictionary: Dictionary | None = None) -> DataFrame:
     o = n.options
     if n.kind in LEAVES:
-        return _leaf(spark, sf_dir, n, oblivious)
+        return R.union_bag(*[_leaf(spark, folder, n, oblivious) for folder in folders])
+    sf_dir = folders[0]
     df = inputs[0]
     visible = [c for c in df.columns if c != R.DUMMY]
+    columns = [F.col(c) for c in visible]
+    kind_of = lambda c: df.select(c).dtypes[0][1]
     if n.kind == "FheFilter":
-        return R.filter_rows(df, condition(o.get("predicates", []), o.get("orPredicateGroups"), constants))
+        if not {"predicate", "predicates", "orPredicateGroups"} & set(o):
+            raise ValueError("a filter without predicates")
+        predicates = o["predicates"] if "predicates" in o else [o["predicate"]] if "predicate" in o else []
+        return R.filter_rows(df, condition(predicates, o.get("orPredicateGroups"), constants, dictionary))
     if n.kind == "LogicalFilter":
-        return R.filter_rows(df, column_of(o["condition"], [F.col(c) for c in visible]))
+        return R.filter_rows(df, column_of(o["condition"], columns, kind_of))
     if n.kind in ("LogicalProject", "FheProject"):
         if "exprs" in o:
-            return R.project(df, dict(zip(o["fields"], [column_of(e, [F.col(c) for c in visible]) for e in o["exprs"]])))
+            return R.project(df, dict(zip(o["fields"], [column_of(e, columns, kind_of) for e in o["exprs"]], strict=True)))
+        if "ordinals" in o:
+            return R.project(df, {visible[i]: columns[i] for i in o["ordinals"]})
+        if "fields" in o:
+            named = [f if isinstance(f, dict) else {"ordinal": visible.index(f)} for f in o["fields"]]
+            return R.project(df, {f.get("name") or visible[f["ordinal"]]: columns[f["ordinal"]] for f in named})
         return R.project(df, {c.get("alias", c["column"]): F.col(c["column"]) for c in o["columns"]})
     if n.kind in ("LogicalAggregate", "FheAggregate"):
-        keys = [visible[i] for i in o["group"]] if o.get("group") and isinstance(o["group"][0], int) else o.get("group", [])
+        at = lambda x: visible[x] if isinstance(x, int) else x
+        keys = [at(x) for x in o.get("group", o.get("groupBy", []))]
         functions = {}
-        for a in o["aggs"]:
-            name = a["agg"].upper()
-            value = None if not a.get("operands") else F.col(visible[a["operands"][0]] if isinstance(a["operands"][0], int) else a["operands"][0])
+        for a in [*o.get("aggs", []), *o.get("aggregates", [])]:
+            name = a.get("type") if "alias" in a else a["agg"]
+            name = (name["kind"] if isinstance(name, dict) else name).upper()
+            operands = [a["ordinal"]] if "ordinal" in a and name != "COUNT" else a.get("operands")
             if a.get("distinct"):
                 if name != "COUNT":
                     raise ValueError(f"DISTINCT {name} isn't supported")
                 name = "COUNT_DISTINCT"
-            functions[a["name"]] = (name, value)
-        return R.aggregate(df, keys, functions, o.get("cardinality-bound", 0))
+            if name not in R.AGGREGATES and name != "COUNT_DISTINCT":
+                raise ValueError(f"unknown aggregate {name}")
+            functions[a.get("alias") or a["name"]] = (name, F.col(at(operands[0])) if operands else None)
+        return R.aggregate(df, keys, functions, o.get("cardinality-bound", o.get("cardBound", 0)))
     if n.kind == "LogicalSort":
         most = o.get("fetch", {}).get("literal")
         if isinstance(most, str):  # the size of a table, or a number as text
@@ -213,8 +262,8 @@ def _operator(spark: SparkSession, sf_dir: str, n: Node, inputs: list[DataFrame]
         return R.union_bag(*inputs)
     if n.kind == "ShrinkWrap":
         return R.shrinkwrap(df, o["output-cardinality"])
-    if n.kind == "SecureContextSwitch":
-        return df  # moves data between protections that this engine doesn't have
+    if n.kind == "SecureContextSwitch":  # moves data between protections that this engine doesn't have
+        return R.sort_limit(df, _collation(df, o), o["sort_limit"]) if o.get("sort_limit") else df
     return _join(inputs[0], inputs[1], o, check)
 
 

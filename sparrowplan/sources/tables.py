@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparrowplan.storage import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 TYPES = {"int32": "int", "int": "int", "integer": "int", "int64": "bigint", "long": "bigint", "bigint": "bigint", "float": "double", "bool": "boolean", "boolean": "boolean", "date": "date", "string": "string"}
 
 
+#: Modulus of the draws of synthetic tables.
+PRIME = (1 << 31) - 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """A stored table; times without a zone become dates once, here."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,7 +92,7 @@ def xor_shares(df: DataFrame, columns: list[str], seed: int = 1) -> tuple[DataFr
     """Two tables whose whole-number columns give the original by exclusive or. Not a protection: the pad is a hash of the row's columns and the seed."""
     pad = {c: F.xxhash64(F.lit(seed), F.lit(c), *columns) for c in columns}
     rest = [c for c in df.columns if c not in columns]
-    ided = df.withColumn("_row", F.monotonically_increasing_id())
+    ided = stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # both shares must see the same numbers
     return ided.select("_row", *rest, *[pad[c].alias(c) for c in columns]), ided.select("_row", *rest, *[pad[c].bitwiseXOR(F.col(c).cast("long")).alias(c) for c in columns])
 
 
@@ -101,7 +107,9 @@ def synthetic(spark: SparkSession, spec: dict) -> DataFrame:
     df = spark.range(spec["rows"])
     columns = []
     for i, (name, f) in enumerate(spec["fields"].items()):
-        draw = F.pmod(F.xxhash64(F.lit(spec.get("seed", 0)), F.lit(i), "id"), F.lit(1 << 31))
+        draw = (F.col("id") + (spec.get("seed", 0) * 7919 + i * 104_729 + 1)) % PRIME
+        for factor in (48_271, 69_621, 16_807):  # products stay under 2^48
+            draw = draw * factor % PRIME
         if f == "key":
             columns.append(F.col("id").alias(name))
         elif "range" in f:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowplan.functions import codecs
+from sparrowplan.functions.dictionary import Dictionary
 from sparrowplan.functions.expressions import column_of, equi_keys
 from sparrowplan.operators import relational as R
 from sparrowplan.operators.private_filter import condition
@@ -193,3 +194,56 @@ def test_jdbc(spark, tmp_path):
     parts = tables.jdbc(spark, url, "SELECT \"id\" AS id, \"twice\" AS twice FROM numbers", ("ID", 0, 20, 4), **driver)
     assert parts.rdd.getNumPartitions() == 4
     assert sorted(parts.collect()) == sorted(whole.collect()) and whole.where("TWICE > 30").count() == 4
+
+
+def test_unknown_keys_are_refused(spark):
+    scan = {"id": "0", "relOp": "StoredTableScan", "table": "region"}
+    for wrong in ({"predicat": {}}, {}, {"predicates": [{"type": "equal", "column": "r_name", "treshold": "x"}]}):
+        with pytest.raises(ValueError):
+            planner.run(spark, SF, {"rels": [scan, {"id": "1", "relOp": "FheFilter", **wrong}]}, {"r_name": "ASIA"})
+    with pytest.raises(KeyError):
+        planner.run(spark, SF, {"rels": [scan, {"id": "1", "relOp": "FheFilter", "predicate": {"type": "equal", "column": "r_name", "threshold": ""}}]})
+    with pytest.raises(ValueError, match="unknown aggregate"):
+        planner.run(spark, SF, {"rels": [scan, {"id": "1", "relOp": "FheAggregate", "aggregates": [{"type": "MEDIAN", "ordinal": 0, "alias": "m"}]}]})
+
+
+def test_whole_numbers_are_exact(spark):
+    df = spark.createDataFrame([(9007199254740993, 1), (-7, 2), (7, 0)], "a long, b long")
+    divided = column_of({"op": {"kind": "DIV"}, "operands": [{"input": 0}, {"input": 1}]}, [F.col("a"), F.col("b")])
+    assert [r[0] for r in df.select(divided).collect()] == [9007199254740993, -3, 0]
+    n = (1 << 60) + 7
+    assert spark.range(1).select(codecs.undigits(codecs.digits(F.lit(n), 8, 21), 8)).first()[0] == n
+    with pytest.raises(Exception, match="no digits"):
+        spark.range(1).select(codecs.digits(F.lit(-1), 8, 3)).collect()
+
+
+def test_dictionaries(spark):
+    known = Dictionary({"tables": {"t": {"e": {"type": "enum", "mapping": {"A": 0}}, "x": {"type": "decimal", "params": {"scale_factor": 100}}, "d": {"type": "date"}}}})
+    assert (known.code("e", "A "), known.code("x", "0.07"), known.code("x", 0.07), known.code("d", "1992-01-31")) == (0, 7, 7, 30)
+    with pytest.raises(ValueError):
+        known.code("e", "B")
+    with pytest.raises(Exception, match="unknown enumeration value"):
+        spark.range(1).select(known.encoded("e", F.lit("B"))).collect()
+
+
+def test_dummy_padding(spark):
+    df = R.resize(spark.range(3), 5)
+    assert df.count() == 5 and R.reveal(df).count() == 3
+    with pytest.raises(ValueError):
+        R.resize(spark.range(3), 2)
+
+
+def test_plans_without_state_run_on_streams(spark, tmp_path):
+    tables.table(spark, SF, "nation").write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("n_nationkey int, n_name string, n_regionkey int").parquet(str(tmp_path / "in"))
+    region = tables.table(spark, SF, "region")
+    out = R.keyed_join(R.project(R.filter_rows(rows, F.col("n_nationkey") > 4), {"k": F.col("n_nationkey"), "r": F.col("n_regionkey")}), region, [("r", "r_regionkey")])
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_a_date_filter_reaches_the_scan(spark):
+    df = tables.table(spark, SF, "lineitem").where("l_shipdate < date '1995-01-01'").select("l_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(l_shipdate,1995-01-01T" in plan or "l_shipdate,1995-01-01" in plan
