@@ -69,8 +69,10 @@ def fit(terms: np.ndarray, starts: np.ndarray, y: np.ndarray, factors: int = FAC
         return Machine(-np.inf, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     rng = np.random.default_rng(seed)
     mean = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    names, at = np.unique(terms, return_inverse=True)
-    at = at.astype(np.int32)
+    names = np.flatnonzero(np.bincount(terms, minlength=size))
+    row_of = np.zeros(size, np.int32)
+    row_of[names] = np.arange(len(names))
+    at = row_of[terms]
     b, w, v = float(np.log(mean / (1 - mean))), np.zeros(len(names)), rng.normal(0, 0.01, (len(names), factors))
     gb, gw, gv = 1e-6, np.full(len(names), 1e-4), np.full(v.shape, 1e-4)
     met, place = np.zeros(len(names), bool), np.empty(len(names), np.int64)
