@@ -35,6 +35,12 @@ def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], count: str,
     return rows.join(heavy, keys).unionByName(light)
 
 
+def fixed(df: DataFrame, name: str) -> DataFrame:
+    """`df`, stored unless it comes straight from its source: after a shuffle, a task that runs again may give rows in another order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, name) if "Exchange" in plan or "ExistingRDD" in plan else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,8 @@ table of words: the second pass asks for these.
 Defined results: a null or empty text is the end token alone. Repeated rows and null ids are documents like others; a null id counts as the empty
 string for the folds. Without training documents N and V are 0 and the scores are those of the floor. Only the id and the text are
 read, so clashing columns don't matter. Very long texts are treated piece by piece.
-The input must give the same rows in the same order when a lost task runs again, as files do; otherwise store it before.
+Ids are read as whole numbers (text that is none raises an error). A lost task that runs again must see the same rows in the same order, as it does
+with files; an input that comes out of a shuffle is stored first.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowplan.llm.common import WORDS, byte_texts, document_tokens, remainder, stepped, stored, table
+from sparrowplan.llm.common import WORDS, byte_texts, document_tokens, fixed, remainder, stepped, stored, table
 
 #: Words whose counts are broadcast, at most (and the end token): a table of 24 bytes each. It bounds no result.
 FREQUENT = 1 << 17
@@ -332,7 +333,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, iterations: int = ITERATIONS
 def score_documents(docs: DataFrame, fold: Column, text: str = "text", key: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
     """Scores of all rows. `fold`: 0 for held-out rows, 1 for training rows, 2 for training rows that also teach the weights."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("k"), fold.cast("byte").alias("f"), F.col(text).alias("t"))
+    rows = fixed(docs.select(F.col(key).cast("long").alias("k"), fold.cast("byte").alias("f"), F.col(text).alias("t")), "lm-texts")
     words = stored(rows.where("f > 0").mapInArrow(_count_words, "h long, c long, r long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("r").alias("r")), "lm-words")
     tokens, kept, types = (int(x or 0) for x in words.agg(F.sum("c"), F.sum("r"), F.count("*")).first())
     level = F.floor(F.log2("c") * 16)  # words by rounded frequency: a few hundred levels
