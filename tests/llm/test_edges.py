@@ -394,9 +394,15 @@ def test_lm_estimates_every_context(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute_lm(texts, [(0, 2, 1, 1)[i % 4] for i in range(len(texts))])
     fold = F.when(F.col("doc_id") % 4 == 0, 0).when(F.col("doc_id") % 4 == 1, 2).otherwise(1)
-    for frequent in (0, 5, 10**5):
-        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df, fold, "text", "doc_id", frequent).collect()}
-        assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6), frequent
+    train = collections.Counter(w for i, t in enumerate(texts) if i % 4 for w in [*t.split(), " "])
+    total, types = sum(train.values()), len(train)
+    base = [sum(math.log10((train[w] + 1) / (total + types + 1)) for w in [*t.split(), " "]) for t in texts]
+    for frequent, rows in ((0, df), (5, df.repartition(5)), (10**5, df)):  # what comes out of a shuffle is stored first
+        got = {r["doc_id"]: r for r in lm_scoring.score_documents(rows, fold, "text", "doc_id", frequent).collect()}
+        assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want, abs=1e-6), frequent
+        assert [got[i]["base_score"] for i in range(len(texts))] == pytest.approx(base, abs=1e-6)
+        assert [got[i]["n_known"] for i in range(len(texts))] == [sum(train[w] > 0 for w in [*t.split(), " "]) for t in texts]
+        assert all(r["n_tokens"] == len(texts[i].split()) + 1 and r["train_tokens"] == total and r["held_out"] == (i % 4 == 0) for i, r in got.items())
 
 
 def test_jaccard(docs, none):
