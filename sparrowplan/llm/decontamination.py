@@ -11,7 +11,7 @@ Only words around a hit are carried through the join, never whole texts, and no
 
 Defined results: null texts have no words; items without words never match. An item id may repeat; it counts once. Items with a null id
 mark words as hit but are not counted or listed. Every row is judged for itself, repeated rows and null ids included. An empty benchmark hits nothing.
-Very long texts are treated whole.
+Very long texts are treated whole. Names of `keep` must differ from n_words, n_hit and items, the columns of the result.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowplan.llm.common import stored, table
+from sparrowplan.llm.common import HOT_KEYS, stored, table
 
 WINDOW = 13
 K = 5
-#: Bits of the bitmap, a multiple of 64.
-BITMAP = 1 << 21
+#: Bits of the bitmap: LEAST_BITS, or 16 for each fingerprint of the benchmark, up to MOST_BITS (16 MB); powers of two.
+LEAST_BITS, MOST_BITS = 1 << 21, 1 << 27
 #: Fingerprint rows of the benchmark (some 300 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 #: All of ASCII that is no digit or letter separates words; A-Z are lower-cased.
@@ -49,13 +49,25 @@ def _upto(last: Column) -> Column:
     return F.when(last < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), last))
 
 
-def _runs(w: Column, n: int) -> Column:
-    """The hash of each run of n words."""
-    return F.transform(_upto(F.size(w) - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.slice(w, i, F.lit(n))))
+def _hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _runs(wh: Column, n: int) -> Column:
+    """The hash of each run of n words, from the words' hashes."""
+    return F.transform(_upto(F.size(wh) - (n - 1)), lambda i: F.xxhash64(F.lit(n), *[F.get(wh, i + (k - 1)) for k in range(n)]))
 
 
 def _winnowed(h: Column, w: int) -> Column:
-    return F.array_distinct(F.transform(_upto(F.size(h) - (w - 1)), lambda i: F.array_min(F.slice(h, i, F.lit(w)))))
+    """The smallest of every w consecutive hashes: minima of 2, 4, 8, ... by pairs, then of two that overlap."""
+
+    def minima(a: Column, size: int) -> Column:
+        step = min(size, w - size)
+        if not step:
+            return F.array_distinct(a)
+        return let(F.transform(_upto(F.size(a) - step), lambda i: F.least(F.get(a, i - 1), F.get(a, i + (step - 1)))), lambda b: minima(b, size + step))
+
+    return minima(h, 1)
 
 
 def _around(w: Column, h: Column, kept: Column, n: int, reach: int) -> Column:
@@ -77,8 +89,8 @@ _NONE = "array<struct<at:int,h:bigint,mid:array<string>,left:array<string>,right
 
 
 def _bit(bits: Column, h: Column, size: int) -> Column:
-    at = F.pmod(h, F.lit(size))
-    return F.getbit(F.get(bits, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+    at = h.bitwiseAND(F.lit(size - 1).cast("long"))  # `size` is a power of two
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 
 def fingerprints(items: DataFrame, text: str, key: str, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -86,14 +98,18 @@ def fingerprints(items: DataFrame, text: str, key: str, window: int = WINDOW, k:
     n = F.size("w")
     whole = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("w"))
     rows = stored(whole.where(n > 0), "benchmark-words")
-    long = rows.where(n >= window).select("item", F.explode(let(_runs(F.col("w"), k), lambda h: _around(F.col("w"), h, _winnowed(h, window - k + 1), k, window - k))).alias("f"))
+    long = rows.where(n >= window).select("item", F.explode(let(let(_hashes(F.col("w")), lambda wh: _runs(wh, k)), lambda h: _around(F.col("w"), h, _winnowed(h, window - k + 1), k, window - k))).alias("f"))
     empty = F.array().cast("array<string>")
-    short = rows.where(n < window).select("item", F.struct(F.lit(1).alias("at"), F.xxhash64(n, F.col("w")).alias("h"), F.col("w").alias("mid"), empty.alias("left"), empty.alias("right")).alias("f"))
+    short = rows.where(n < window).select("item", F.struct(F.lit(1).alias("at"), F.xxhash64(n, _hashes(F.col("w"))).alias("h"), F.col("w").alias("mid"), empty.alias("left"), empty.alias("right")).alias("f"))
     return long.union(short).select("item", "f.*").distinct()
 
 
-def bitmap(prints: DataFrame, size: int = BITMAP) -> DataFrame:
-    """One row with the bits of all fingerprint hashes, as an array of size / 64 numbers."""
+def bitmap_bits(fingerprints: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * fingerprints).bit_length()))
+
+
+def bitmap(prints: DataFrame, size: int = LEAST_BITS) -> DataFrame:
+    """One row with the bits of all fingerprint hashes, as an array of size / 64 numbers; `size` is a power of two."""
     spark = prints.sparkSession
     at = F.pmod("h", F.lit(size))
     ones = prints.select(F.floor(at / 64).alias("id"), F.expr(f"shiftleft(1L, cast(pmod(pmod(h, {size}), 64) as int))").alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
@@ -101,6 +117,18 @@ def bitmap(prints: DataFrame, size: int = BITMAP) -> DataFrame:
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits"))
 
 
+def _joined(near: DataFrame, known: DataFrame, n_known: int, broadcast_rows: int) -> DataFrame:
+    """`near` and `known` by h. Of many fingerprints those are broadcast that more than 1 / HOT_KEYS of the hits in documents have."""
+    if n_known <= broadcast_rows:
+        return near.join(F.broadcast(known), "h")
+    counts = stored(near.groupBy("h").agg(F.count("*").alias("n")), "fingerprint-hits", narrow=True)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("n") > total // HOT_KEYS).select("h"))  # fewer than HOT_KEYS
+    heavy = known.join(hot, "h", "left_semi")
+    heavy = F.broadcast(heavy) if heavy.limit(broadcast_rows + 1).count() <= broadcast_rows else heavy
+    return near.join(heavy, "h").unionByName(near.join(hot, "h", "left_anti").join(known.join(hot, "h", "left_anti"), "h"))
+
+
 def _prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two arrays of words."""
     same = F.zip_with(a, b, lambda x, y: x.isNotNull() & y.isNotNull() & (x == y))
@@ -113,31 +141,31 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
     prints = stored(fingerprints(items, item_text, item_key, window, k), "benchmark-fingerprints")
     lengths = sorted(r[0] for r in prints.where((F.size("mid") != k) | (F.size("left") + F.size("right") < window - k)).select(F.size("mid").alias("n")).distinct().where(F.col("n") < window).collect())
     shorts = [n for n in lengths if n != k] + ([k] if prints.where((F.size("mid") == k) & (F.size("left") == 0) & (F.size("right") == 0)).limit(1).count() else [])
-    bits = bitmap(prints).scalar()
+    n_prints = prints.count()
+    size = bitmap_bits(n_prints)
+    bits = bitmap(prints, size).scalar()
 
-    def candidates(w: Column, b: Column) -> Column:
+    def candidates(w: Column, wh: Column, b: Column) -> Column:
         def lookups(h: Column) -> Column:
-            found = F.filter(_winnowed(h, window - k + 1), lambda v: _bit(b, v, BITMAP))
+            found = F.filter(_winnowed(h, window - k + 1), lambda v: _bit(b, v, size))
             return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast(_NONE)).otherwise(_around(w, h, f, k, window - k)))
 
         def short_lookups(n: int) -> Callable[[Column], Column]:
             def places(h: Column) -> Column:
-                found = F.array_distinct(F.filter(h, lambda v: _bit(b, v, BITMAP)))
+                found = F.array_distinct(F.filter(h, lambda v: _bit(b, v, size)))
                 return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast(_NONE)).otherwise(_around(w, h, f, n, 0)))
 
             return places
 
-        parts = [let(_runs(w, k), lookups), *[let(_runs(w, n), short_lookups(n)) for n in shorts]]
+        parts = [let(_runs(wh, k), lookups), *[let(_runs(wh, n), short_lookups(n)) for n in shorts]]
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    looked = let(F.col("_bits"), lambda b: let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), candidates(w, b).alias("found"))))
+    looked = let(F.col("_bits"), lambda b: let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(_hashes(w), lambda wh: candidates(w, wh, b)).alias("found"))))
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text), bits.alias("_bits")).select(*keep, F.monotonically_increasing_id().alias("_row"), looked.alias("_x"))
     rows = stored(rows, "document-candidates")
     near = rows.select("_row", F.explode("_x.found").alias("d")).select("_row", F.col("d.at").alias("at"), F.col("d.h").alias("h"), F.struct("d.mid", "d.left", "d.right").alias("d"))
     known = prints.select("h", "item", F.struct("mid", "left", "right").alias("i"))
-    if prints.count() <= broadcast_rows:
-        known = F.broadcast(known)
-    met = near.join(known, "h").where(F.col("d.mid") == F.col("i.mid"))
+    met = _joined(near, known, n_prints, broadcast_rows).where(F.col("d.mid") == F.col("i.mid"))
     met = met.select("_row", "item", "at", F.size("d.mid").alias("n"), F.size("i.left").alias("il"), F.size("i.right").alias("ir"), _prefix(F.col("d.left"), F.col("i.left")).alias("l"), _prefix(F.col("d.right"), F.col("i.right")).alias("r"))
     whole = (F.col("l") + F.col("r") + F.col("n") >= window) | ((F.col("il") == 0) & (F.col("ir") == 0))
     spans = met.where(whole).select("_row", "item", (F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("n") + F.col("r")).alias("b"))
