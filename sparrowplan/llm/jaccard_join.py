@@ -248,7 +248,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Of rows that repeat an id and text, one stays.
     """
-    found = stored(near_duplicates(docs, text, key), "near-duplicates")
+    found = stored(near_duplicates(docs, text, key), "near-duplicates", narrow=True)
     # rows with the class's id: one a class unless ids are repeated or null
     best = found.where("root is not null and k <=> class_id").select("root", "k", "t").distinct()
     several = best.groupBy("root").agg(F.min("t").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
@@ -256,7 +256,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     gone = found.where("class_id is not null and not (k <=> class_id)").select("k", "t").union(others).toDF("_k", "_t").distinct()
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_t"))
     kept = docs.join(gone, same, "left_anti")
-    repeated = stored(found.groupBy("k", "t").count().where("count > 1").select(F.col("k").alias("_k"), F.col("t").alias("_t")), "repeated")
+    repeated = stored(found.groupBy("k", "t").count().where("count > 1").select(F.col("k").alias("_k"), F.col("t").alias("_t")), "repeated", narrow=True)
     if not repeated.limit(1).count():
         return kept
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([key, text]))
