@@ -502,13 +502,29 @@ def test_decontamination(docs, none, spark):
     items = spark.createDataFrame([(1, " ".join(w)), (2, "short item here"), (3, None), (4, "!!"), (None, "null id words"), (1, " ".join(w))], "item_id long, text string")
     texts = [" ".join(w[5:18]), "x " + " ".join(w[5:17]), "A Short, ITEM-here y", " ".join([*w, *w]), None, "", "null id words"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.find_hits(df, items, keep={"doc_id": F.col("doc_id")}).collect()}
+    for most in (0, 10**6):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.find_hits(df, items, keep={"doc_id": F.col("doc_id")}, broadcast_rows=most).collect()}
+    assert decontamination.bitmap_bits(10) == 1 << 21 and decontamination.bitmap_bits(10**6) == 1 << 24 and decontamination.bitmap_bits(10**12) == 1 << 27
     assert got == {0: (13, 13, ["1"]), 1: (13, 0, []), 2: (5, 3, ["2"]), 3: (80, 80, ["1"]), 4: (0, 0, []), 5: (0, 0, []), 6: (3, 3, [])}
     assert decontamination.find_hits(docs, items).count() == len(ROWS)
     assert decontamination.find_hits(none, items).count() == 0 and decontamination.find_hits(df, items.limit(0)).where("n_hit > 0").count() == 0
     assert sorted(r[0] for r in decontamination.decontaminated(df, items).collect()) == [1, 4, 5]
 
 
+def test_decontamination_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, n_words int, found string")
+    items = spark.createDataFrame([(1, "c d")], "item_id long, text string")
+    assert decontamination.decontaminated(df, items).collect() == df.collect()
+
+
+def test_winnowing_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [([rng.randrange(-(2**62), 2**62) for _ in range(rng.choice([0, 1, 8, 9, 10, 40]))],) for _ in range(40)]
+    for w in (1, 2, 3, 8, 9):
+        for r in spark.createDataFrame(rows, "h array<long>").select("h", decontamination._winnowed(F.col("h"), w).alias("m")).collect():
+            assert sorted(r["m"]) == sorted({min(r["h"][i : i + w]) for i in range(len(r["h"]) - w + 1)})
+
+
 def test_digest_of_empty_text(spark):
     r = bpe.digests(bpe.encode_decode(spark.createDataFrame([(1, None)], "doc_id long, text string"), bpe.read_spec())).first()
     assert r["ids_sha256"] == r["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
