@@ -1,18 +1,26 @@
 """Token counts of a unigram tokenizer, by Viterbi without keeping the segmentation.
 
 An Aho-Corasick automaton lists all vocabulary pieces that end at each character; dynamic programming carries the best
-score and its number of pieces. Ties go to the piece that starts earliest, and a character without a piece of its own
-costs ten less than the worst score and counts as its UTF-8 bytes (byte fallback), as the library of the model file does.
-Spaces become word marks, and one more is put in front of the text. Where no piece goes on to a mark after another
-character, the text falls into independent words, each with all marks before it, so that each task keeps the counts of
-words it has seen (a cache of bounded size, which never changes a result). Control, unknown and byte pieces are no text.
+score and its number of pieces. A character without a piece of its own costs ten less than the worst score and counts as
+its UTF-8 bytes (byte fallback). Spaces become word marks, and one more is put in front of the text.
+
+Ties are those of the model file's library, which come from its arithmetic: sums are kept in 32 bits, and where the sum at
+a character is beyond 100,000 it becomes 0 there and is taken off all later sums that stand so far, each rounded anew. Of
+equal sums the piece that starts earliest stays. With a score of -10^9 for the mark alone, as in files made from BPE
+vocabularies, that rounds the sums of all pieces that begin with a mark to multiples of 64.
+
+Where no piece goes on to a mark after another character, the text falls into words, each with all marks before it, and a
+word's count depends on the text before it by the running sum alone. Tasks keep the counts of words and sums they have seen
+(a cache of bounded size, which never changes a result). Control, unknown and byte pieces are no text.
 
 Defined results: null and empty texts have 0 tokens; with an empty vocabulary all text is counted as bytes. Input columns stay; `n_tokens` replaces a column of that name.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +32,15 @@ from sparrowplan.llm.common import attach, extended, stepped, table
 
 MARK = "▁"
 WORD = re.compile("▁+[^▁]*")
-CACHE_WORDS = 500_000
+CACHE_ENTRIES = 250_000
+FARTHEST = 100_000.0  # sums beyond this become 0, and later ones are counted from there
+WHOLE = float(1 << 24)  # whole numbers up to here are the same in 32 bits
+_single = struct.Struct("f")
+
+
+def rounded(x: float) -> float:
+    """The nearest number of 32 bits."""
+    return _single.unpack(_single.pack(x))[0]
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
@@ -43,72 +59,121 @@ class Counter:
         self.automaton = ahocorasick.Automaton()
         for piece, score in dict(pieces).items():
             if piece:
-                self.automaton.add_word(piece, (len(piece), float(score)))
+                self.automaton.add_word(piece, (len(piece), rounded(score)))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
-        self.unknown = min((s for _, s in pieces), default=0.0) - 10.0
-        # Sums of whole numbers are exact, so that the parts of a text that no piece joins are independent of each other.
-        exact = all(float(s).is_integer() for _, s in pieces)
-        self.words = exact and not any(MARK in p.lstrip(MARK) for p, _ in pieces)
-        self.divide = exact and not any("\n" in p for p, _ in pieces)
-        self.seen: dict[str, int] = {}
-
-    def viterbi(self, word: str) -> int:
-        """Tokens of the best segmentation of one marked word."""
-        n = len(word)
-        score: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
-        score[0] = 0.0
-        at = 0  # all ends up to here have their scores
-
-        def unknown(end: int) -> None:
-            """What is left for an end after its pieces: the character alone, if no piece is just that."""
-            before = score[end - 1]
-            if end not in single and (score[end] is None or before + self.unknown > score[end]):
-                score[end] = before + self.unknown
-                count[end] = count[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-
-        single: set[int] = set()
-        for last, (length, gain) in () if self.empty else self.automaton.iter(word):
-            end = last + 1
-            while at < end - 1:
+        scores = {p: rounded(s) for p, s in pieces}
+        self.unknown = rounded(min(scores.values(), default=0.0) - 10.0)
+        self.exact = all(s.is_integer() for s in scores.values())
+        self.words = not any(MARK in p.lstrip(MARK) for p in scores)
+        far = 2 * FARTHEST + 1  # a single step of this size sets any sum to 0
+        self.divide = self.words and self.unknown < -far and not any("\n" in p for p in scores)
+        # After a mark alone of such a score, what came before tells only by how it rounds.
+        self.alone = scores.get(MARK, self.unknown)
+        self.after = {p: s for p, s in scores.items() if len(p) > 1 and p[0] == MARK and p[1] != MARK}
+        self.forgets = self.exact and self.alone < -far and all(abs(s) < WHOLE / 2 for s in self.after.values())
+        self.longest = max(map(len, self.after), default=0)
+        self.seen: dict[str, tuple[tuple[float, float, int, float], ...]] = {}  # range of sums before: tokens, sum at the end
+        self.entries = 0
+
+    def viterbi(self, word: str, start: float = 0.0) -> tuple[int, float]:
+        """Tokens of the best segmentation, and the sum at its end, from the sum before."""
+        n, exact = len(word), self.exact
+        score, count = [start] * (n + 1), [0] * (n + 1)
+        shift: dict[int, float] = {}  # what was taken off all sums when a place was reached
+        latest = 0  # the last such place
+        at = 0  # all places up to here have their scores
+        best: float | None = None  # of the pieces that end at at + 1, as of place `since`
+        since, single = 0, False
+
+        def moved(x: float, since: int, to: int) -> float:
+            """A sum of `since` as it stands when place `to` is reached."""
+            for k, amount in shift.items():
+                if since < k <= to:
+                    x = rounded(x - amount)
+            return x
+
+        matches = [] if self.empty else list(self.automaton.iter(word))
+        matches.append((n, (0, 0.0)))
+        for last, (length, gain) in matches:
+            while at < last:
+                if not single:  # an unknown character, unless longer pieces are better
+                    if best is not None and since < latest:
+                        best = moved(best, since, at)
+                    total = rounded(score[at] + self.unknown)
+                    if best is None or total > best:
+                        best = total
+                        count[at + 1] = count[at] + len(word[at].encode("utf-8", "surrogatepass"))
                 at += 1
-                unknown(at)
-            if length == 1:
-                single.add(end)
-            total = score[end - length] + gain
-            if score[end] is None or total > score[end]:  # longer pieces come first
-                score[end] = total
-                count[end] = count[end - length] + 1
-        while at < n:
-            at += 1
-            unknown(at)
-        return count[n]
-
-    def _part(self, part: str) -> int:
-        n = self.seen.get(part)
-        if n is None:
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            n = self.seen[part] = self.viterbi(part)
-        return n
-
-    def _word(self, word: str) -> int:
-        n = self.seen.get(word)
-        if n is not None:
-            return n
-        if self.divide and "\n" in word:
-            return sum(self._part(x) for x in word.split("\n") if x) + word.count("\n")
-        return self._part(word)
+                if best > FARTHEST or best < -FARTHEST:
+                    shift[at], latest, best = best, at, 0.0
+                score[at], best, single = best, None, False
+            if not length:
+                break
+            begin = last + 1 - length
+            total = score[begin] + gain
+            if not exact or not -WHOLE <= total <= WHOLE:
+                total = rounded(total)
+            if best is not None and since < latest:
+                best = moved(best, since, begin)
+            if best is None or total > best:  # longer pieces come first
+                best = total
+                count[last + 1] = count[begin] + 1
+            since, single = begin, length == 1
+        return count[n], score[n]
+
+    def _alike(self, word: str, by: float) -> tuple[float, float]:
+        """Amounts around `by` that round to the same sums, added to the pieces that begin the word."""
+        low, high = -math.inf, math.inf
+        for k in range(2, min(self.longest, len(word)) + 1):
+            gain = self.after.get(word[:k])
+            if gain is not None:
+                near = rounded(gain + by)
+                gap = math.ldexp(1.0, math.frexp(near)[1] - 24)  # between numbers of 32 bits
+                reach = gap / 2 if math.frexp(near)[0] not in (0.5, -0.5) else gap / 4
+                low, high = max(low, near - reach - gain), min(high, near + reach - gain)
+        low, high = low + 1, high - 1  # whole numbers, none halfway
+        return (low, high) if low <= by <= high else (by, by)
+
+    def _part(self, part: str, start: float) -> tuple[int, float]:
+        forgets = self.forgets and part[0] == MARK and part[1:2] != MARK
+        by = start - rounded(start + self.alone) if forgets else start
+        known = self.seen.get(part, ())
+        for low, high, n, end in known:
+            if low <= by <= high:
+                return n, end
+        if self.entries >= CACHE_ENTRIES:
+            self.seen.clear()
+            self.entries, known = 0, ()
+        n, end = self.viterbi(part, start)
+        low, high = self._alike(part, by) if forgets and known else (by, by)  # most words are seen once
+        self.seen[part] = (*known, (low, high, n, end))
+        self.entries += 1
+        return n, end
+
+    def _word(self, word: str, start: float) -> tuple[int, float]:
+        if not self.divide or "\n" not in word:
+            return self._part(word, start)
+        first, *rest = word.split("\n")  # an unknown character of one byte, after which the sum is 0
+        n = self._part(first, start)[0] + len(rest)
+        end = 0.0
+        for part in rest:
+            end = 0.0
+            if part:
+                more, end = self._part(part, 0.0)
+                n += more
+        return n, end
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
         marked = MARK + text.replace(" ", MARK)
-        if not self.words:
-            return self._word(marked)
-        return sum(map(self._word, WORD.findall(marked)))
+        n, at = 0, 0.0
+        for word in WORD.findall(marked) if self.words else [marked]:
+            more, at = self._word(word, at)
+            n += more
+        return n
 
 
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "text") -> DataFrame:

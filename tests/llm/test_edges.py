@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,18 +228,22 @@ def test_sharding_of_equal_rows(spark):
 
 
 def brute_count(text, pieces):
-    """Forward over all starts; a strictly better score wins, so that ties go to the earliest start."""
+    """Forward over all starts, in 32 bits; sums beyond 100,000 become 0 and are taken off those that stand; ties go to the earliest start."""
+    f = np.float32
     text = "▁" + text.replace(" ", "▁")
-    known, worst, longest = dict(pieces), min(s for _, s in pieces) - 10, max(len(p) for p, _ in pieces)
-    best = [(0.0, 0)] + [None] * len(text)
+    known, worst, longest = dict(pieces), f(f(min(s for _, s in pieces)) - f(10)), max(len(p) for p, _ in pieces)
+    best = [(f(0), 0)] + [None] * len(text)
     for a in range(len(text)):
         score, n = best[a]
+        if abs(score) > 100_000:
+            best[a + 1 : a + longest + 1] = [x and (f(x[0] - score), x[1]) for x in best[a + 1 : a + longest + 1]]
+            score = f(0)
         for b in range(a + 1, min(len(text), a + longest) + 1):
             part = text[a:b]
             if part in known:
-                to = (score + known[part], n + 1)
+                to = (f(score + f(known[part])), n + 1)
             elif b == a + 1:
-                to = (score + worst, n + len(part.encode()))
+                to = (f(score + worst), n + len(part.encode()))
             else:
                 continue
             if best[b] is None or to[0] > best[b][0]:
@@ -261,13 +266,9 @@ def test_token_counts(docs, none, spark):
 
 
 def test_token_counts_against_library():
-    """The library's plain encoding, with the file's vocabulary taken for a unigram one and one score changed: that of the mark alone.
-
-    With its -10^9 the library takes pieces that begin with a mark for equal where their scores differ by less than 64; nothing else differs, the
-    other scores of -10^9 and characters without a piece included.
-    """
-    import pyarrow.parquet as pq
+    """The library's plain encoding, with the vocabulary of the unchanged file taken for a unigram one."""
     import public_tokenizers
+    import pyarrow.parquet as pq
     import sentencepiece
 
     pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
@@ -276,16 +277,26 @@ def test_token_counts_against_library():
     with open(path, "rb") as file:
         model.ParseFromString(file.read())
     model.trainer_spec.model_type = 1
-    for p in model.pieces:
-        p.score = -60_000.0 if p.piece == token_counts.MARK else p.score
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     pieces = token_counts.read_pieces(path)
-    own, raised = token_counts.Counter(pieces), token_counts.Counter([(p, -60_000.0 if p == token_counts.MARK else s) for p, s in pieces])
+    own, plain = token_counts.Counter(pieces), token_counts.Counter(pieces)
+    plain.forgets = False  # keeps words with the whole sum before them
+    assert own.forgets and own.divide
     texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
     texts += [" ".join(random.choices("the cat sat on a mat \n 😀 naïve antidisestablishment".split(" "), k=5000))]
-    for text in ["the", "within  two", "   ", "a <s> b", "<0x41>", "<unk>x", "the, and of", "a\n\nb", *texts]:
-        assert raised(text) == len(library.encode(text)), text[:80]
-        assert "  " in f" {text}" or own(text) == raised(text), text[:80]  # runs of marks have pieces that the mark alone now beats
+    texts += ["".join(random.choices(["the", "and", " ", "  ", "\n", "日本", "▁", "é"], k=200)) for _ in range(300)]
+    for text in ["the", "within  two", "   ", "a <s> b", "<0x41>", "<unk>x", "the, and of", "rest and", "a\n\nb", *TOKEN_TEXTS, *texts]:
+        assert own(text) == plain(text) == len(library.encode(text)), text[:80]
+
+
+@pytest.mark.parametrize("low", [-99_000.0, -1e6, -3e8, -1e9])
+def test_token_counts_small_vocabularies(low):
+    """A mark alone of any score, and the same cache for all texts."""
+    pieces = [("▁", low), ("▁t", -2.0), ("he", -6.0), ("▁the", -13.0), ("the", -40.0), ("t", -50.0), ("h", -51.0), ("e", -52.0), ("▁he", -31.0), ("▁▁", low - 3)]
+    counter = token_counts.Counter(pieces)
+    for _ in range(400):
+        text = "".join(random.choices("the é\n", k=random.randint(1, 40)))
+        assert counter(text) == brute_count(text, pieces), text
 
 
 def test_token_counts_ties():
