@@ -10,7 +10,8 @@ equal sums the piece that starts earliest stays. With a score of -10^9 for the m
 vocabularies, that rounds the sums of all pieces that begin with a mark to multiples of 64.
 
 Where no piece goes on to a mark after another character, the text falls into words, each with all marks before it, and a
-word's count depends on the text before it by the running sum alone. Tasks keep the counts of words and sums they have seen
+word's count depends on the text before it by the running sum alone. With such a file that sum goes to 0 at the mark, and ordinary words need a
+plain search from there (`quick`); others take the full one (`viterbi`). Tasks keep the counts of words and sums they have seen
 (a cache of bounded size, which never changes a result). Control, unknown and byte pieces are no text.
 
 Defined results: null and empty texts have 0 tokens; with an empty vocabulary all text is counted as bytes. Input columns stay; `n_tokens` replaces a column of that name.
@@ -32,9 +33,12 @@ from sparrowplan.llm.common import attach, extended, stepped, table
 
 MARK = "▁"
 WORD = re.compile("▁+[^▁]*")
+PART = re.compile("▁+[^▁]*|[^▁]+")
 CACHE_ENTRIES = 250_000
 FARTHEST = 100_000.0  # sums beyond this become 0, and later ones are counted from there
 WHOLE = float(1 << 24)  # whole numbers up to here are the same in 32 bits
+STEP = 64.0  # between numbers of 32 bits from 2^29 to 2^30
+TO_STEP = 1.5 * 2.0**58  # numbers of 64 bits of this size are as far apart: adding it rounds to multiples of 64, to even ones halfway
 _single = struct.Struct("f")
 
 
@@ -74,6 +78,11 @@ class Counter:
         self.after = {p: s for p, s in scores.items() if len(p) > 1 and p[0] == MARK and p[1] != MARK}
         self.forgets = self.exact and self.alone < -far and all(abs(s) < WHOLE / 2 for s in self.after.values())
         self.longest = max(map(len, self.after), default=0)
+        self.brief = self.forgets and self.divide and (1 << 29) + WHOLE < -self.alone < (1 << 30) - WHOLE and all(abs(s) < WHOLE / 2 for p, s in scores.items() if len(p) == 1 and p != MARK)
+        self.single = {p for p in scores if len(p) == 1 and p != MARK}
+        self.reach: dict[str, int] = {}  # of three characters: the length of the longest piece that begins with them
+        for p in self.after:
+            self.reach[p[:3]] = max(self.reach.get(p[:3], 0), len(p))
         self.seen: dict[str, tuple[tuple[float, float, int, float], ...]] = {}  # range of sums before: tokens, sum at the end
         self.entries = 0
 
@@ -123,6 +132,60 @@ class Counter:
             since, single = begin, length == 1
         return count[n], score[n]
 
+    def quick(self, word: str, by: float) -> tuple[float, float, int, float] | None:
+        """A range of amounts around `by`, and tokens and sum for all of them; None if a sum becomes 0 other than at the word's begin.
+
+        `by` is the sum before the word less that after its mark, some 10^9. The mark alone sets the sum to 0, then so does the piece of the mark
+        and one character, whose sum is `by` larger. All that ended before it is 10^9 worse from there; what counts are pieces that go on
+        from that place, and longer ones with the mark, by how much more they have, in multiples of 64. Where no piece has the mark and more, all goes
+        on from the mark; a word without a mark begins at a sum of 0.
+        """
+        n = len(word)
+        begin, low, high, more = 0, -math.inf, math.inf, None
+        if word[0] == MARK:
+            after = self.after
+            begin, gain = 1, after.get(word[:2])
+            reach = self.reach.get(word[:3], 0)
+            if gain is not None:
+                begin = 2
+                base = (gain + by + TO_STEP) - TO_STEP
+                least = most = gain + by - base
+                if reach > 2:
+                    more = [-math.inf] * (n + 2)
+                    for k in range(3, min(reach, n) + 1):
+                        gain = after.get(word[:k])
+                        if gain is not None:
+                            gain += by
+                            near = (gain + TO_STEP) - TO_STEP
+                            more[k] = near - base
+                            gain -= near
+                            if gain < least:
+                                least = gain
+                            elif gain > most:
+                                most = gain
+                low, high = by - STEP / 2 - least + 1, by + STEP / 2 - most - 1
+                if not low <= by <= high:  # halfway
+                    low = high = by
+            elif reach:  # other pieces are nearest to the mark
+                return None
+        if not self.single.issuperset(word[begin:]):
+            return None
+        first = 1 if begin else 0
+        score, count = [0.0] * (begin + 1), [first] * (begin + 1)
+        best, tokens = -math.inf if more is None or begin == n else more[begin + 1], 1
+        for last, (length, gain) in self.automaton.iter(word, begin):
+            at = last + 1 - length
+            total = score[at] + gain
+            if total > best:
+                best, tokens = total, count[at] + 1
+            if length == 1:  # the last one that ends here
+                if not -FARTHEST <= best <= FARTHEST:
+                    return None
+                score.append(best)
+                count.append(tokens)
+                best, tokens = -math.inf if more is None else more[last + 2], 1
+        return low, high, count[n], score[n]
+
     def _alike(self, word: str, by: float) -> tuple[float, float]:
         """Amounts around `by` that round to the same sums, added to the pieces that begin the word."""
         low, high = -math.inf, math.inf
@@ -143,14 +206,19 @@ class Counter:
         for low, high, n, end in known:
             if low <= by <= high:
                 return n, end
+        return self._unseen(part, start, by, forgets, known)
+
+    def _unseen(self, part: str, start: float, by: float, forgets: bool, known: tuple) -> tuple[int, float]:
         if self.entries >= CACHE_ENTRIES:
             self.seen.clear()
             self.entries, known = 0, ()
-        n, end = self.viterbi(part, start)
-        low, high = self._alike(part, by) if forgets and known else (by, by)  # most words are seen once
-        self.seen[part] = (*known, (low, high, n, end))
+        found = self.quick(part, by) if self.brief and self.forgets and (forgets or part[0] != MARK) else None  # no mark: the sum before is 0
+        if found is None:
+            n, end = self.viterbi(part, start)
+            found = *(self._alike(part, by) if forgets and known else (by, by)), n, end  # most words are seen once
+        self.seen[part] = (*known, found)
         self.entries += 1
-        return n, end
+        return found[2], found[3]
 
     def _word(self, word: str, start: float) -> tuple[int, float]:
         if not self.divide or "\n" not in word:
@@ -165,10 +233,36 @@ class Counter:
                 n += more
         return n, end
 
+    def _lines(self, marked: str) -> int:
+        """Tokens of a text by lines, each from a sum of 0, as in `_word`.
+
+        The lookup of `_part` stands here once more, without a call. Sums before parts that don't forget them are far from 10^9, and fit no range here.
+        """
+        seen, alone, to_step = self.seen, self.alone, TO_STEP
+        lines = marked.split("\n")
+        n = len(lines) - 1
+        for line in lines:
+            at = 0.0
+            for part in PART.findall(line):
+                by = at - ((at + alone + to_step) - to_step)
+                known = seen.get(part, ())
+                for low, high, more, end in known:
+                    if low <= by <= high:
+                        n += more
+                        at = end
+                        break
+                else:
+                    forgets = part[0] == MARK and part[1:2] != MARK
+                    more, at = self._unseen(part, at, by, True, known) if forgets else self._part(part, at)
+                    n += more
+        return n
+
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
         marked = MARK + text.replace(" ", MARK)
+        if self.brief and self.forgets:
+            return self._lines(marked)
         n, at = 0, 0.0
         for word in WORD.findall(marked) if self.words else [marked]:
             more, at = self._word(word, at)

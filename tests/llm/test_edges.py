@@ -299,6 +299,34 @@ def test_token_counts_small_vocabularies(low):
         assert counter(text) == brute_count(text, pieces), text
 
 
+def test_token_counts_quick():
+    """Ordinary words take the quick search, for a range of sums before them; it equals the full one for each of these."""
+    import public_tokenizers
+
+    rng = random.Random(5)
+    pieces = token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["".join(rng.choices(["the", "ation", "con", "x", "é", "Q", "9", "$", ".", "日", "ñ", "re", "qz"], k=rng.randint(1, 5))) for _ in range(150)]
+    counter = token_counts.Counter(pieces)
+    assert counter.brief
+    tried = 0
+    for word in ["▁" + w for w in words] + ["▁"]:
+        for start in (0.0, -31.0, -32.0, -33.0, *(float(-rng.randint(0, 99_999)) for _ in range(8))):
+            by = start - token_counts.rounded(start + counter.alone)
+            found = counter.quick(word, by)
+            if found:
+                low, high, *want = found
+                assert low <= by <= high
+                for other in range(-100, 1):
+                    if low <= other - token_counts.rounded(other + counter.alone) <= high:
+                        assert counter.viterbi(word, float(other)) == tuple(want), (word, start, other)
+                        tried += 1
+    assert tried > 1000
+    full, viterbi = [], counter.viterbi
+    counter.viterbi = lambda *x: full.append(x) or viterbi(*x)
+    text = "A plain line of words,\nand one more: there is nothing rare in these (two) lines!"
+    assert counter(text) == brute_count(text, pieces) and not full
+
+
 def test_token_counts_ties():
     """Equal scores, pieces that join words, scores that are no whole numbers, and no pieces at all."""
     for gain in (-1.0, -0.3):
