@@ -83,9 +83,25 @@ class Counter:
         self.reach: dict[str, int] = {}  # of three characters: the length of the longest piece that begins with them
         for p in self.after:
             self.reach[p[:3]] = max(self.reach.get(p[:3], 0), len(p))
+        self.lean = self._lean(scores) if self.brief else None
         self.seen: dict[str, tuple[tuple[float, float, int, float], ...]] = {}  # range of sums before: tokens, sum at the end
         self.entries = 0
 
+    def _lean(self, scores: dict[str, float]) -> ahocorasick.Automaton:
+        """The pieces without marks, but for those that have less than the sum of other pieces that make them up: a search without resets never takes them."""
+        lean = ahocorasick.Automaton()
+        for piece, gain in scores.items():
+            if not piece or MARK in piece:
+                continue
+            best = [0.0]
+            for b in range(1, len(piece) + 1):
+                best.append(max((best[a] + scores[piece[a:b]] for a in range(b) if piece[a:b] in scores and b - a < len(piece)), default=-math.inf))
+            if len(piece) == 1 or gain >= best[-1]:
+                lean.add_word(piece, (len(piece), gain))
+        if len(lean):
+            lean.make_automaton()
+        return lean
+
     def viterbi(self, word: str, start: float = 0.0) -> tuple[int, float]:
         """Tokens of the best segmentation, and the sum at its end, from the sum before."""
         n, exact = len(word), self.exact
@@ -173,7 +189,7 @@ class Counter:
         first = 1 if begin else 0
         score, count = [0.0] * (begin + 1), [first] * (begin + 1)
         best, tokens = -math.inf if more is None or begin == n else more[begin + 1], 1
-        for last, (length, gain) in self.automaton.iter(word, begin):
+        for last, (length, gain) in self.lean.iter(word, begin):
             at = last + 1 - length
             total = score[at] + gain
             if total > best:
